@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The word splitting of byte-level BPE, as its published description has it.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-#: Pieces remembered in a worker; the memory is emptied when full, so it is bounded.
-REMEMBER = 200_000
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+PIECES = regex.compile(PATTERN)
+#: A fragment ends at the first certain cut after so many bytes.
+FRAGMENT = 4096
 #: Bytes of text that a worker has in hand at once.
 GROUP = 1 << 20
 
@@ -33,10 +35,10 @@ class Codec:
     """Encoder and decoder for one vocabulary file.
 
     Two neighbouring bytes that stand inside no token can never end up in one
-    token, as each merge makes a token. Between them is a certain cut. A piece of
-    the word splitting is cut there, its fragments are merged independently by
-    rank, and their ids are put together. Fragments are shorter and recur more
-    often than pieces, so their merges are remembered.
+    token, as each merge makes a token: between them is a certain cut. Where both
+    neighbours are letters the word splitting can't tell either, since a run of
+    letters stays a run of letters on both sides. A text is cut at such places,
+    its fragments are encoded independently, and their ids are put together.
     """
 
     def __init__(self, path: str):
@@ -61,33 +63,32 @@ class Codec:
         for t in vocab:
             b = np.frombuffer(raw(t), np.uint8)
             self.inside[b[:-1], b[1:]] = True
-        flat = self.inside.ravel()
-        self.joined = frozenset(int(x) for x in np.flatnonzero(flat))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.fragments: dict[bytes, tuple[int, ...]] = {}
-
-    def merge(self, fragment: bytes) -> tuple[int, ...]:
-        """Merge the lowest-ranked neighbours, leftmost first, until none is left."""
-        ids = [self.single[b] for b in fragment]
-        rank = self.rank
-        if len(ids) > 64:
-            return self.merge_long(ids)
-        while len(ids) > 1:
-            best, at, made = 1 << 60, -1, 0
-            for i in range(len(ids) - 1):
-                r = rank.get((ids[i], ids[i + 1]))
-                if r is not None and r[0] < best:
-                    best, at, made = r[0], i, r[1]
-            if at < 0:
-                break
-            ids[at : at + 2] = [made]
-        return tuple(ids)
-
-    def merge_long(self, ids: list[int]) -> tuple[int, ...]:
-        """The same with a heap and linked neighbours: n log n for very long fragments."""
-        import heapq
-
+        # where ids follow the order of the merges, compiled code can merge by id
+        order = [m for _, m in sorted(self.rank.values())]
+        ranks = {x: i for i, x in enumerate(self.token) if x and i not in special.values()}
+        self.compiled = None
+        if order == sorted(order) and all(bytes([b]) in ranks for b in range(256)):
+            self.compiled = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+    def cuts(self, raw: bytes, least: int = FRAGMENT) -> list[int]:
+        """The first certain cut after every ``least`` bytes."""
+        if len(raw) <= least:
+            return []
+        d = np.frombuffer(raw, np.uint8)
+        ascii_letter = ((d | 32) >= 97) & ((d | 32) <= 122)
+        # two-byte letters from U+00C0 on; other alphabets are simply not cut
+        lead = np.zeros(len(d), bool)
+        lead[:-1] = (d[:-1] == 0xC3) & (d[1:] != 0x97) & (d[1:] != 0xB7)
+        tail = np.concatenate(([False], lead[:-1]))
+        certain = ~self.inside[d[:-1], d[1:]] & (ascii_letter | tail)[:-1] & (ascii_letter | lead)[1:]
+        at = np.flatnonzero(certain) + 1
+        pick = np.searchsorted(at, np.arange(least, len(d), least))
+        return sorted({int(x) for x in at[pick[pick < len(at)]]})
+
+    def merge(self, piece: bytes) -> list[int]:
+        """Merge the lowest-ranked neighbours of a piece, leftmost first, until none is left."""
+        ids = [self.single[b] for b in piece]
         n, rank = len(ids), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1])))]
@@ -105,54 +106,28 @@ class Codec:
                     heapq.heappush(heap, (r[0], i, made, ids[k], r[1]))
             if (h := before[i]) >= 0 and (r := rank.get((ids[h], made))):
                 heapq.heappush(heap, (r[0], h, ids[h], made, r[1]))
-        return tuple(x for x in ids if x >= 0)
-
-    def cuts(self, raw: bytes) -> list[bytes]:
-        """The fragments of a piece between its certain cuts."""
-        joined = self.joined
-        at = [i + 1 for i in range(len(raw) - 1) if (raw[i] << 8 | raw[i + 1]) not in joined]
-        if not at:
-            return [raw]
-        return [raw[a:b] for a, b in zip([0, *at], [*at, len(raw)], strict=True)]
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        known = self.known.get(piece)
-        if known is not None:
-            return known
-        out: list[int] = []
-        for fragment in self.cuts(piece.encode("utf-8", "surrogatepass")):
-            ids = self.fragments.get(fragment)
-            if ids is None:
-                ids = self.merge(fragment)
-                if len(fragment) <= 64:
-                    if len(self.fragments) >= REMEMBER:
-                        self.fragments.clear()
-                    self.fragments[fragment] = ids
-            out += ids
-        if len(piece) <= 64:
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            self.known[piece] = known = tuple(out)
-            return known
-        return tuple(out)
+        return [x for x in ids if x >= 0]
+
+    def fragment(self, text: str) -> list[int]:
+        """The ids of one fragment."""
+        if self.compiled:
+            return self.compiled(text)
+        return [i for piece in PIECES.findall(text) for i in self.merge(piece.encode())]
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text; the text of a special token becomes that token."""
-        out: list[np.ndarray] = []
-        parts = self.split_special.split(text) if self.split_special else [text]
-        for part in parts:
+        out: list[int] = []
+        for part in self.split_special.split(text) if self.split_special else [text]:
             if part in self.special:
-                out.append(np.array([self.special[part]], np.int32))
-            elif part:
-                pieces = PIECES.findall(part)
-                known = self.known
-                ids = [known.get(p) for p in pieces]
-                if None in ids:
-                    for i, x in enumerate(ids):
-                        if x is None:
-                            ids[i] = self.piece(pieces[i])
-                out.append(np.fromiter(chain.from_iterable(ids), np.int32))
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
+                out.append(self.special[part])
+            elif len(part) <= FRAGMENT // 4:
+                out += self.fragment(part)
+            else:
+                raw = part.encode()
+                cuts = [0, *self.cuts(raw), len(raw)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    out += self.fragment(raw[a:b].decode())
+        return np.array(out, np.int32)
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of the ids, special tokens included; broken UTF-8 becomes U+FFFD.
@@ -161,11 +136,9 @@ class Codec:
         """
         token, n = self.token, len(self.token)
         ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
-        try:
-            raw = b"".join([token[i] for i in ids])
-        except IndexError:
-            raw = b"".join([token[i] for i in ids if 0 <= i < n])
-        return raw.decode("utf-8", "replace")
+        if ids and (min(ids) < 0 or max(ids) >= n):
+            ids = [i for i in ids if 0 <= i < n]
+        return b"".join([token[i] for i in ids]).decode("utf-8", "replace")
 
 
 _codecs: dict[str, Codec] = {}
