@@ -86,11 +86,11 @@ class RunMaker:
                     yield pa.record_batch([pa.array([s], pa.int32()), pa.array([pack(keys[a:b], [c[a:b] for c in cols])], pa.binary())], schema=_ARROW)
 
 
-def build(runs: DataFrame, path: str, shards: int, how: Sequence[str], keep: Callable | None = None, summary: Callable | None = None, n_sums: int = 0) -> tuple[Store, list[float]]:
+def build(runs: DataFrame, path: str, shards: int, how: Sequence[str], keep: Callable | None = None, summary: Callable | None = None, n_sums: int = 0, width: int | None = None) -> tuple[Store, list[float]]:
     """Merge the runs of each shard and write its sorted arrays below ``path``.
 
     ``keep(keys, *columns)`` gives a mask of the entries to store, or a tuple of
-    mask and new columns; ``summary(keys, *columns)`` gives ``n_sums`` numbers,
+    mask and the ``width`` columns to store; ``summary(keys, *columns)`` gives ``n_sums`` numbers,
     taken over all merged entries, whose sums over all shards are returned. Only
     those few numbers a shard come to the driver. Files get their final name at
     the end, so a task that runs again leaves the same table.
@@ -120,7 +120,7 @@ def build(runs: DataFrame, path: str, shards: int, how: Sequence[str], keep: Cal
 
     rows = runs.groupBy("shard").applyInArrow(merge, "shard int, n bigint, sums array<double>").collect()
     total = [sum(r["sums"][i] for r in rows) for i in range(n_sums)]
-    return Store(folder, shards, len(how), frozenset(r["shard"] for r in rows if r["n"]), sum(r["n"] for r in rows)), total
+    return Store(folder, shards, width if width is not None else len(how), frozenset(r["shard"] for r in rows if r["n"]), sum(r["n"] for r in rows)), total
 
 
 class Store:
