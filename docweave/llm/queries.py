@@ -48,6 +48,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import drop_repeated_chunks
+
+    cut = drop_repeated_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import digest_columns, repeated_passages
 
@@ -57,6 +64,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe": op3_bpe,
+        "op4_lines": op4_lines,
         "op7_substrings": op7_substrings,
         "op8_decontaminate": op8_decontaminate,
         "op10_exact_dedup": op10_exact_dedup,
