@@ -36,7 +36,8 @@ def _scan(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple]:
                     np.minimum(anchor, seeds[j : j + n], out=anchor)
             else:
                 starts, anchor = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            yield batch, a, b, ids[a:b], words, h, starts, anchor[starts] if n > 0 else anchor
+            # minima are small numbers; mixed again they spread evenly over the shards
+            yield batch, a, b, ids[a:b], words, h, starts, mix(anchor[starts]) if n > 0 else anchor
 
 
 def _known(store: runs.Store, keys: np.ndarray, columns: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
