@@ -12,12 +12,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+    from .shared import held_out
+
+    scored = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import held_out
+    from .toxicity import score_toxicity
+
+    scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -61,6 +77,23 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify_language
+    from .shared import held_out
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify_language(docs, docs).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import score_texts
+    from .shared import held_out
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_texts(docs, docs.where(~held_out(F.col("doc_id"), 7, 2)))
+    return scored.withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import digest_columns, repeated_passages
 
@@ -69,11 +102,15 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_near_dedup": op2_near_dedup,
         "op3_bpe": op3_bpe,
         "op4_lines": op4_lines,
+        "op5_language": op5_language,
+        "op6_kneser_ney": op6_kneser_ney,
         "op7_substrings": op7_substrings,
         "op8_decontaminate": op8_decontaminate,
+        "op9_quality": op9_quality,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
