@@ -119,7 +119,7 @@ def _block(folder: str) -> Block:
     return _blocks[folder]
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", append: bool = False) -> DataFrame:
     """Where documents hold ``window`` consecutive words of benchmark items.
 
     An item of fewer words is one window; an item without words or identifier has
@@ -133,10 +133,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_co
     many documents share is no hot key.
 
     Null text has no words. Repeated items count once by identifier. Empty tables
-    give no hits. Other columns are ignored.
+    give no hits.
 
     Returns doc_id, n_words, n_hit, items (array<string>, sorted), spans
-    (array<int>: begin and end, in words, of each maximal hit stretch).
+    (array<int>: begin and end, in words, of each maximal hit stretch); with
+    ``append`` the columns of ``docs`` instead of doc_id, where columns with the
+    other names are replaced.
     """
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col)
@@ -199,12 +201,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_co
         for name, x in {**index, "key": key[by], "window": live[by], "offset": order[live][by]}.items():
             np.save(f"{here}/{name}.npy", x)
 
-    out_schema = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<int>"
+    added = ["n_words", "n_hit", "items", "spans"]
+    source, column = (docs.drop(*added), text_col) if append else (texts, "text")
+    kept = source.columns if append else ["doc_id"]
+    out_schema = source.select(kept).selectExpr("*", "0L AS n_words", "0L AS n_hit", "cast(array() AS array<string>) AS items", "cast(array() AS array<int>) AS spans").schema
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            for a, b, data, offsets in groups(text_array(batch.column("text"))):
+            for a, b, data, offsets in groups(text_array(batch.column(column))):
+                part = batch.slice(a, b - a)
                 words, h = alnum_words(data, offsets)
                 n = len(h)
                 pair = np.zeros(n, np.uint64)
@@ -238,9 +243,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_co
                 lists_of: list[set[str]] = [set() for _ in range(b - a)]
                 for d, item in pairs:
                     lists_of[d].add(item)
-                yield pa.record_batch(
-                    [ids.slice(a, b - a), pa.array(words.counts, pa.int64()), pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64()), pa.array([sorted(x) for x in lists_of], pa.list_(pa.string())), lists(spans, per, pa.int32())],
-                    names=["doc_id", "n_words", "n_hit", "items", "spans"],
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in kept), pa.array(words.counts, pa.int64()), pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64()), pa.array([sorted(x) for x in lists_of], pa.list_(pa.string())), lists(spans, per, pa.int32())],
+                    [*kept, *added],
                 )
 
-    return texts.mapInArrow(match, out_schema)
+    return source.mapInArrow(match, out_schema)

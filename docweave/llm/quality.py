@@ -153,20 +153,24 @@ def fit(texts: DataFrame, labels: DataFrame, label: str = "quality", at_most: in
     return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fitting: object) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", append: bool = False, **fitting: object) -> DataFrame:
     """A calibrated quality score (0 to 1) of every whole text.
 
     The statistics look at the text alone. Null counts as empty. Without usable
-    labels every score is 0.5. Other columns are ignored.
+    labels every score is 0.5.
 
-    Returns doc_id, score.
+    Returns doc_id, score and nothing else; with ``append`` the columns of ``docs``
+    and score, which replaces a column of that name.
     """
     texts = id_and_text(docs, id_col, text_col)
     model = fit(texts, labels, **fitting)
+    source, column = (docs.drop("score"), text_col) if append else (texts, "text")
+    kept = source.columns if append else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in groups(text_array(batch.column("text"))):
-                yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(model.score(statistics(data, offsets)))], names=["doc_id", "score"])
+            for a, b, data, offsets in groups(text_array(batch.column(column))):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(model.score(statistics(data, offsets)))], [*kept, "score"])
 
-    return texts.mapInArrow(run, "doc_id bigint, score double")
+    return source.mapInArrow(run, source.select(kept).withColumn("score", F.lit(0.5)).schema)
