@@ -114,7 +114,7 @@ _TAGS = "(SELECT p_partkey, string_split(p_name, ' ') AS tags, p_retailprice, p_
 _add("array_contains", f"SELECT p_partkey FROM {_TAGS} WHERE list_contains(tags, 'red')", projection("array_contains", {"t": "tagged"}, pick("t.p_partkey"), array_contains(f("t.tags"), "red")))
 _add("array_contains_any", f"SELECT p_partkey FROM {_TAGS} WHERE list_has_any(tags, ['red', 'widget'])", projection("array_contains_any", {"t": "tagged"}, pick("t.p_partkey"), or_([array_contains(f("t.tags"), "red"), array_contains_any(f("t.tags"), ["widget", None])])))
 _add("in_array_field", f"SELECT p_partkey FROM {_TAGS} WHERE list_contains(tags, 'blue')", projection("in_array_field", {"t": "tagged"}, pick("t.p_partkey"), in_list("blue", f("t.tags"))))
-_add("nested_fields", f"SELECT p_partkey, p_retailprice AS value, p_brand AS brand FROM {_TAGS} WHERE p_retailprice > 200", projection("nested_fields", {"t": "tagged"}, pick("t.p_partkey", "t.price.value", "t.price.brand"), gt(f("t.price.value"), 200)))
+_add("nested_fields", f"SELECT p_partkey, p_retailprice AS value, p_brand AS brand FROM {_TAGS} WHERE p_retailprice > 950", projection("nested_fields", {"t": "tagged"}, pick("t.p_partkey", "t.price.value", "t.price.brand"), gt(f("t.price.value"), 950)))
 _add("flatten_path", f"SELECT p_partkey, array_to_string(tags, '|') AS names FROM {_TAGS}", projection("flatten_path", {"t": "tagged"}, {"p_partkey": f("t.p_partkey"), "names": apply(f("t.marks.name"), lambda x: F.array_join(x, "|"))}))
 _add("json_path", "SELECT event_id, props->>'$.k' AS k FROM events WHERE try_cast(props->>'$.k' AS DOUBLE) >= 50", projection("json_path", {"e": "json_event"}, {"event_id": f("e.event_id"), "k": f("e.props.k")}, gte(f("e.props.k"), 50)))
 
