@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored_with
 
 
 def components(edges: DataFrame, space: str) -> DataFrame:
@@ -19,19 +19,18 @@ def components(edges: DataFrame, space: str) -> DataFrame:
 
     Returns id, component, one row per end.
     """
-    pair = lambda a, b: (F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    tree = stored(edges.where("a <> b").select(*pair("a", "b")).distinct(), f"{space}/0")
-    sign = lambda t: tuple(t.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
-    before, i = sign(tree), 0
-    while before[0]:
+    # while a round is written, its rows are counted and their hashes added up: equal sums end the loop
+    sums = {"n": F.count(F.lit(1)), "sign": F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))}
+    tree, before = stored_with(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{space}/0", **sums)
+    i = 0
+    while before["n"]:
         i += 1
         both = tree.unionByName(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        tree = stored(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{space}/{i}")
-        after = sign(tree)
+        tree, after = stored_with(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{space}/{i}", **sums)
         if after == before:
             break
         before = after

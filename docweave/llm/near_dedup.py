@@ -17,7 +17,7 @@ from .textkernel import LOWER, U, groups, mix, split, text_array, window_hashes,
 #: Minwise values of a sketch, of which one byte each is kept.
 WIDTH = 64
 #: Independent trees; branches of a node; minwise tokens that a branch selects; levels.
-TREES, BRANCHES, TOKENS, LEVELS = 3, 4, 2, 4
+TREES, BRANCHES, TOKENS, LEVELS = 3, 4, 2, 3
 #: Nodes up to this size are compared exhaustively.
 SMALL = 24
 #: Documents of a cluster that are verified together.
@@ -71,20 +71,28 @@ def _children(path: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
         yield node
 
 
-def _branch(batches: Iterator[pa.RecordBatch], roots: bool, leave: int) -> Iterator[pa.RecordBatch]:
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The branches of each tree's root."""
     for batch in batches:
         sig = _fixed(batch.column("sig"))
-        rep, sigs = batch.column("rep"), batch.column("sig")
-        if roots:
-            starts = [np.full(batch.num_rows, mix(np.array([t + 1], np.uint64))[0]) for t in range(TREES)]
-        else:
-            near = (sig == _fixed(batch.column("lead_sig"))).sum(axis=1) >= leave
-            far = pa.array(~near & (rep.to_numpy() != batch.column("lead").to_numpy()))
-            rep, sigs, sig = rep.filter(far), sigs.filter(far), sig[far.to_numpy(zero_copy_only=False)]
-            starts = [batch.column("path").filter(far).to_numpy().view(np.uint64)]
-        for path in starts:
-            for node in _children(path, sig):
-                yield pa.record_batch([pa.array(node.view(np.int64)), rep, sigs], names=["path", "rep", "sig"])
+        for t in range(TREES):
+            for node in _children(np.full(batch.num_rows, mix(np.array([t + 1], np.uint64))[0]), sig):
+                yield pa.record_batch([pa.array(node.view(np.int64)), batch.column("rep"), batch.column("sig")], names=["path", "rep", "sig"])
+
+
+def _large(batches: Iterator[pa.RecordBatch], around: int, close: int) -> Iterator[pa.RecordBatch]:
+    """Of large nodes: edges (lead, rep), without a sketch; and the rows that branch on, without a lead."""
+    names = ["path", "rep", "sig", "lead"]
+    for batch in batches:
+        sig, rep, lead = _fixed(batch.column("sig")), batch.column("rep"), batch.column("lead")
+        same = (sig == _fixed(batch.column("lead_sig"))).sum(axis=1)
+        other = rep.to_numpy() != lead.to_numpy()
+        hang, go = pa.array(other & (same >= around)), other & (same < close)
+        n = int(hang.to_numpy(zero_copy_only=False).sum())
+        yield pa.record_batch([pa.nulls(n, pa.int64()), rep.filter(hang), pa.nulls(n, pa.binary()), lead.filter(hang)], names=names)
+        reps, sigs, m = rep.filter(pa.array(go)), batch.column("sig").filter(pa.array(go)), int(go.sum())
+        for node in _children(batch.column("path").to_numpy()[go].view(np.uint64), sig[go]):
+            yield pa.record_batch([pa.array(node.view(np.int64)), reps, sigs, pa.nulls(m, pa.int64())], names=names)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,30 +172,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
                     same = (sig[left] == sig[right]).sum(axis=1) >= maybe
                     yield pa.record_batch([pa.array(ids[left[same]]), pa.array(ids[right[same]])], names=["a", "b"])
 
-    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = pa.array((_fixed(batch.column("sig")) == _fixed(batch.column("lead_sig"))).sum(axis=1) >= around)
-            yield pa.record_batch([batch.column("rep").filter(ok), batch.column("lead").filter(ok)], names=["a", "b"])
-
-    rows = nodes.mapInArrow(lambda it: _branch(it, True, 0), row_schema)
+    rows = nodes.mapInArrow(_roots, row_schema)
     for level in range(1, LEVELS + 1):
         counts = stored(rows.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1"), f"{space}/nodes{level}")
         small = counts.where(F.col("n") <= SMALL).select("path")
         met = rows.join(small, "path").groupBy("path").agg(F.collect_list(F.struct("rep", "sig")).alias("members"))
-        found.append(stored(met.select("members").mapInArrow(exhaustive, pair_schema).distinct(), f"{space}/pairs{level}"))
-        big = counts.where(F.col("n") > SMALL).select("path", "lead")
-        if not big.take(1):
-            break
-        # classes of one repeated identifier share it; any of their sketches will do
-        lead_sig = nodes.groupBy(F.col("rep").alias("lead")).agg(F.first("sig").alias("lead_sig"))
-        big = stored(big.join(lead_sig, "lead"), f"{space}/big{level}")
-        inside = rows.join(big, "path")
-        edges = inside.select("rep", "lead", "sig", "lead_sig")
-        # at the last level nothing is compared any more: whatever met there is a candidate
-        edges = edges.mapInArrow(star, pair_schema) if level < LEVELS else edges.select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-        found.append(stored(edges.where("a <> b").distinct(), f"{space}/stars{level}"))
-        if level < LEVELS:
-            rows = stored(inside.mapInArrow(lambda it: _branch(it, False, close), row_schema), f"{space}/rows{level + 1}")
+        found.append(stored(met.select("members").mapInArrow(exhaustive, pair_schema), f"{space}/pairs{level}"))
+        # the classes of a repeated identifier may join more than once, which changes nothing
+        big = counts.where(F.col("n") > SMALL).select("path", "lead").join(nodes.select(F.col("rep").alias("lead"), F.col("sig").alias("lead_sig")), "lead")
+        if level == LEVELS:
+            # nothing is compared any more: whatever met here is a candidate
+            found.append(rows.join(big.select("path", "lead"), "path").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
+        else:
+            both = stored(rows.join(big, "path").mapInArrow(lambda it: _large(it, around, close), "path bigint, rep bigint, sig binary, lead bigint"), f"{space}/rows{level + 1}")
+            found.append(both.where("lead IS NOT NULL").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
+            rows = both.where("lead IS NULL").select("path", "rep", "sig")
+            if not rows.take(1):
+                break
 
     edges = found[0]
     for more in found[1:]:
@@ -292,11 +293,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         return stored(met.mapInArrow(check, "cluster bigint, doc bigint, root bigint, many boolean"), f"{space}/{name}")
 
     first = verified(None, "links1")
-    links = first.select(F.col("doc").alias("a"), F.col("root").alias("b"))
+    links = first.select(F.col("doc").alias("a"), F.col("root").alias("b"), "many")
     # a document that isn't below the smallest one of a cluster of several blocks
     loose = first.where("many AND root <> cluster")
     if loose.take(1):
-        labels = components(links, f"{space}/known").select(F.col("id").alias("doc"), "component")
+        labels = components(links.where("many").select("a", "b"), f"{space}/known").select(F.col("id").alias("doc"), "component")
         inside = first.where("many").select("cluster", "doc").distinct().join(labels, "doc", "left")
         inside = inside.select("cluster", "doc", F.coalesce("component", "doc").alias("label"))
         # clusters with more than one component; all but that of the smallest document are dealt to every block
@@ -312,8 +313,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
         again, _ = runs.build(open_rows.mapInArrow(reopen, runs.RUN_SCHEMA), f"{space}/reopened", shards, ["min", "min"])
         second = verified(again, "links2")
-        links = links.unionByName(second.select(F.col("doc").alias("a"), F.col("root").alias("b")))
-    final = components(links, f"{space}/linked")
+        links = links.unionByName(second.select(F.col("doc").alias("a"), F.col("root").alias("b"), "many"))
+    # a cluster of one block is settled; blocks of one cluster meet in their components
+    several = links.where("many").select("a", "b")
+    settled = links.where("NOT many").select(F.col("a").alias("id"), F.col("b").alias("component"))
+    final = settled.unionByName(components(several, f"{space}/linked")) if several.take(1) else settled
     classes = reps.join(final, F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     classes = stored(classes, f"{space}/result")
     out = all_docs.select("doc_id", *key).join(classes, key, "left")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,12 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_with(df: DataFrame, path: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """``stored``, and aggregates over the rows that are taken while they are written."""
+    seen = Observation()
+    return stored(df.observe(seen, *(c.alias(k) for k, c in sums.items())), path), seen.get
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``: for files their length, without a scan."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
