@@ -21,24 +21,42 @@ LEAST_DOCS, LEAST_CHI = 4, 12.0
 #: Features at most: the strongest, so the model's size has a bound.
 MOST_TERMS = 1 << 15
 FACTORS, EPOCHS, RATE, L2 = 6, 30, 0.1, 1e-3
-PREFIX = 5
+#: Bytes of the beginnings of longer words that are terms too.
+PREFIXES = (4, 5)
+#: A term that occurs twice or more and makes up such a share of the words is a further feature for each share.
+RATES = (1 / 128, 1 / 64, 1 / 32)
 BITS = 22
+_LEVEL = U(3)
 
 
 def terms(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed terms and their documents: words, and five-byte beginnings of longer words."""
+    """Every hashed term and its document: words, and the beginnings of longer words."""
     doc = words.doc_of()
-    long = np.flatnonzero(words.ends - words.starts > PREFIX)
-    heads = mix(span_hashes(words.data, words.starts[long], words.starts[long] + PREFIX) + U(0xABCD))
-    return np.concatenate((h, heads)), np.concatenate((doc, doc[long]))
+    keys, docs = [h], [doc]
+    for n in PREFIXES:
+        long = np.flatnonzero(words.ends - words.starts > n)
+        keys.append(mix(span_hashes(words.data, words.starts[long], words.starts[long] + n) + U(0xABC8 + n)))
+        docs.append(doc[long])
+    return np.concatenate(keys) & ~_LEVEL, np.concatenate(docs)
 
 
-def _once(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each term once a document, ordered by document."""
+def leveled(keys: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each term once a document, and once more for each of ``RATES`` that it reaches, in order of documents.
+
+    The last two bits of a key tell the level, so that a level's term is known by
+    the others. One word of a short text is a high rate by chance, hence twice.
+    """
     order = np.lexsort((keys, doc))
     keys, doc = keys[order], doc[order]
-    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]))) if len(keys) else np.zeros(0, bool)
-    return keys[new], doc[new]
+    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])))) if len(keys) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(keys)))
+    keys, doc = keys[first], doc[first]
+    rate = np.where(times > 1, times / np.maximum(sizes[doc], 1), 0)
+    reached = [np.flatnonzero(rate >= r) for r in RATES]
+    out = np.concatenate([keys, *(keys[at] | U(i + 1) for i, at in enumerate(reached))])
+    docs = np.concatenate([doc, *(doc[at] for at in reached)])
+    order = np.lexsort((out, docs))
+    return out[order], docs[order]
 
 
 class Machine:
@@ -46,6 +64,7 @@ class Machine:
 
     def __init__(self, keys: np.ndarray, seed: int = 3):
         self.keys = np.sort(keys)
+        self.terms = np.unique(self.keys & ~_LEVEL)
         random = np.random.default_rng(seed)
         self.bias, self.w, self.v = 0.0, np.zeros(len(keys)), random.normal(scale=0.01, size=(len(keys), FACTORS))
         self.x, self.p = np.array([-1.0, 1.0]), np.array([0.5, 0.5])
@@ -59,17 +78,23 @@ class Machine:
         if self.seen is None:
             self.seen = np.zeros(1 << BITS, bool)
             self.seen[self.keys >> U(64 - BITS)] = True
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         words, h = alnum_words(data, offsets)
         keys, doc = terms(words, h)
         maybe = self.seen[keys >> U(64 - BITS)]
         keys, doc = keys[maybe], doc[maybe]
-        if not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        hit = self.keys[at] == keys
-        keys, doc = _once(at[hit].astype(np.uint64), doc[hit])
-        return keys.astype(np.int64), doc
+        hit = self._at(self.terms, keys)[0]
+        keys, doc = leveled(keys[hit], doc[hit], words.counts)
+        hit, at = self._at(self.keys, keys)
+        return at[hit], doc[hit]
+
+    @staticmethod
+    def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is in the sorted table, and where."""
+        at = np.searchsorted(table, keys)
+        at[at == len(table)] = 0
+        return table[at] == keys, at
 
     def raw(self, feature: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         out = self.bias + np.bincount(doc, weights=self.w[feature], minlength=n)
@@ -132,7 +157,8 @@ def fit(texts: DataFrame, labels: DataFrame, label: str = "toxic", at_most: int
         for batch in batches:
             y = (batch.column("y").to_numpy() > 0).astype(np.int64)
             for a, _, data, offsets in groups(text_array(batch.column("text"))):
-                keys, doc = _once(*terms(*alnum_words(data, offsets)))
+                words, h = alnum_words(data, offsets)
+                keys, doc = leveled(*terms(words, h), words.counts)
                 yield from out.add(keys, np.ones(len(keys), np.int64), y[a + doc])
         yield from out.flush()
 
@@ -174,7 +200,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """A calibrated toxicity score (0 to 1) of every whole text.
 
     A-Z is lower-cased; words are runs of ASCII letters and digits or bytes of other
-    alphabets. Each term counts once, however long the text. Null counts as empty.
+    alphabets. Words and their beginnings are terms; a term's presence and the shares of
+    the text that it reaches are its features, however long the text. Null counts as empty.
     Without usable labels every score is 0.5. Other columns are ignored.
 
     Returns doc_id, score.
