@@ -15,7 +15,7 @@ from .textkernel import LOWER, U, groups, mix, split, text_array, window_hashes,
 
 #: Bound of the labelled sample that the classifier is fitted on.
 TRAIN_DOCS = 30_000
-#: Random features, and the tasks whose normal equations are summed.
+#: Random features, and the most tasks whose normal equations are summed, which bounds what the driver gets.
 FEATURES, TASKS = 256, 8
 RIDGE = 1e-3
 STATISTICS = ("words", "word_bytes", "distinct", "same_as_last", "repeated_pairs", "upper", "digits", "marks", "marked_words", "loud_words", "stops", "odd_marks", "line_words", "distinct_lines", "long_words")
@@ -112,8 +112,8 @@ class Classifier:
 def fit(texts: DataFrame, labels: DataFrame, label: str = "quality", at_most: int = TRAIN_DOCS, modulus: int = 4, remainder: int = 2) -> Classifier:
     """Fit on at most ``at_most`` labelled documents outside the held-out ones.
 
-    Three quarters give the normal equations: each of ``TASKS`` tasks sums the
-    products of its rows' features, and the driver adds those few matrices and
+    Three quarters give the normal equations: each of at most ``TASKS`` tasks sums
+    the products of its rows' features, and the driver adds those few matrices and
     solves. The last quarter gives the calibration. Nothing else is gathered.
     """
     spark = texts.sparkSession
@@ -141,7 +141,7 @@ def fit(texts: DataFrame, labels: DataFrame, label: str = "quality", at_most: in
             right += z.T @ batch.column("y").to_numpy()
         yield pa.record_batch([pa.array([left.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], names=["left", "right"])
 
-    parts = rows.where(fold != 0).repartition(TASKS, "doc_id").mapInArrow(products, "left binary, right binary").collect()
+    parts = rows.where(fold != 0).coalesce(TASKS).mapInArrow(products, "left binary, right binary").collect()
     left = sum((np.frombuffer(r["left"]).reshape(FEATURES + 1, -1) for r in parts), np.zeros((FEATURES + 1, FEATURES + 1)))
     right = sum((np.frombuffer(r["right"]) for r in parts), np.zeros(FEATURES + 1))
     n = left[-1, -1]
