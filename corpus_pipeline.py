@@ -18,8 +18,8 @@ from docweave.llm.shared import stored, workspace
 
 #: A document whose quality score is lower goes.
 LEAST_QUALITY = 0.7
-#: A document with windows of so many benchmark items goes.
-MOST_ITEMS = 2
+#: A document with windows of so many benchmark items goes, and one with so many consecutive words of any.
+MOST_ITEMS, LONGEST_RUN = 2, 13
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold passages of several benchmark items."""
+    """Drop documents that hold windows of several benchmark items, or a passage longer than a chance match."""
     hits = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), append=True)
-    return hits.where(F.size("items") < MOST_ITEMS).select(docs.columns)
+    longest = F.array_max(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x - F.get("spans", i - 1)).otherwise(0)))
+    return hits.where((F.size("items") < MOST_ITEMS) & (F.coalesce(longest, F.lit(0)) < LONGEST_RUN)).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
