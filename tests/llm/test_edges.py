@@ -3,9 +3,13 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from docweave.llm import near_dedup
 from docweave.llm.bpe import Codec, decode, encode
 from docweave.llm.decontaminate import benchmark_hits
 from docweave.llm.exact_dedup import exact_groups
@@ -115,6 +119,25 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got == brute_components(texts, 80)
 
 
+def test_recall_of_candidates_in_large_nodes():
+    """Pairs at the threshold, in large nodes down to the last level, with one sketch for all trees."""
+    n, rng = 200_000, np.random.default_rng(3)
+    left = rng.integers(0, 256, (n, near_dedup.WIDTH), dtype=np.uint8)
+    right = np.where(rng.random(left.shape) < 0.8, left, rng.integers(0, 256, left.shape, dtype=np.uint8))
+    fixed = lambda sig: pa.array([x.tobytes() for x in sig], pa.binary())
+    sides = [pa.record_batch([pa.array(np.arange(n)), fixed(sig)], names=["rep", "sig"]) for sig in (left, right)]
+    both = [pa.Table.from_batches(near_dedup._roots(iter([x]))) for x in sides]
+    for level in range(1, near_dedup.LEVELS + 1):
+        met = pc.equal(both[0]["path"], both[1]["path"])
+        both = [x.filter(met).combine_chunks() for x in both]
+        if level < near_dedup.LEVELS:
+            m = both[0].num_rows
+            # nothing resembles the node's first document, so that all go on
+            far = {"lead": pa.array(np.full(m, -1)), "lead_sig": pa.array([bytes(near_dedup.WIDTH)] * m, pa.binary())}
+            both = [pa.Table.from_batches(near_dedup._large(x.select(["path", "rep", "sig"]).append_column("lead", far["lead"]).append_column("lead_sig", far["lead_sig"]).to_batches(), 65, 65)) for x in both]
+    assert 1 - len(both[0]["rep"].unique()) / n < 5e-4
+
+
 def test_repeated_lines_go_and_the_first_stays(spark):
     """Chunks never differ from their lines: what is left is a subsequence, and a passage that all share is mostly cut."""
     shared = [f"shared line number {i}" for i in range(60)]
