@@ -20,10 +20,12 @@ LAST_ID = np.iinfo(np.int64).max
 LINES_PER_CHUNK = 4
 #: Lines that the rolling hash spans.
 ROLL = 2
+#: A line of more words than this is a passage by itself.
+ALONE = 50
 
 
 class Chunks:
-    """The content-defined chunks of the lines of a group of documents."""
+    """The passages of the lines of a group of documents: content-defined chunks, pairs of lines and long lines."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets, docs = data, offsets, len(offsets) - 1
@@ -36,7 +38,8 @@ class Chunks:
         ends = np.sort(np.concatenate((breaks, offsets[1:][full])), kind="stable")
         n = len(starts)
         doc = np.repeat(np.arange(docs), lines)
-        first = np.concatenate(([0], np.cumsum(lines)))
+        self.starts, self.ends, self.of = starts, ends, doc
+        self.first = first = np.concatenate(([0], np.cumsum(lines)))
         h = span_hashes(data, starts, ends)
         rolled = h.copy()
         inside = np.arange(n) - first[:-1][doc]
@@ -47,40 +50,61 @@ class Chunks:
         cut[first[1:][lines > 0] - 1] = True
         last = np.flatnonzero(cut)
         head = np.concatenate(([0], last[:-1] + 1)) if len(last) else last
-        self.doc, self.size = doc[head], last - head + 1
-        self.begin, self.end = starts[head], ends[last]
-        inked = np.concatenate(([0], np.cumsum(~SPACE[data])))
+        begins = ~SPACE[data]
+        inked = np.concatenate(([0], np.cumsum(begins)))
+        begins[1:] &= SPACE[data[:-1]]
+        at = starts[starts < len(data)]
+        begins[at] = ~SPACE[data[at]]
+        words = np.concatenate(([0], np.cumsum(begins)))
         solid = np.concatenate(([0], np.cumsum(inked[ends] > inked[starts])))
         #: chunks of at least two lines that aren't blank
-        self.multi = solid[last + 1] - solid[head] >= 2
-        position = np.arange(n) - np.repeat(head, self.size)
-        weighted = mix(h + position.astype(np.uint64) * U(0xD6E8FEB86659FD93))
-        self.key = mix(np.add.reduceat(weighted, head) + self.size.astype(np.uint64)) if n else np.zeros(0, np.uint64)
+        multi = solid[last + 1] - solid[head] >= 2
+        filled = np.flatnonzero(inked[ends] > inked[starts])
+        pair = np.flatnonzero(doc[filled[1:]] == doc[filled[:-1]])
+        long = np.flatnonzero(words[ends] - words[starts] > ALONE)
+        # no two spans of one of these overlap
+        scales = [(head[multi], last[multi]), *((filled[k], filled[k + 1]) for k in (pair[pair % 2 == 0], pair[pair % 2 == 1])), (long, long)]
+        keys = [span_hashes(data, starts[x], ends[y]) for x, y in scales]
+        head, last = (np.concatenate(x) for x in zip(*scales, strict=True))
+        _, one = np.unique(head * (n + 1) + last, return_index=True)
+        self.head, self.last, self.key = head[one], last[one], np.concatenate(keys)[one]
+        self.doc = doc[self.head]
 
     def text(self, i: int) -> bytes:
-        return self.data[self.begin[i] : self.end[i]].tobytes()
+        return self.data[self.starts[self.head[i]] : self.ends[self.last[i]]].tobytes()
+
+    def covered(self, spans: np.ndarray) -> np.ndarray:
+        """The lines that lie in one of the passages that ``spans`` marks."""
+        n = len(self.starts)
+        return np.cumsum(np.bincount(self.head[spans], minlength=n + 1) - np.bincount(self.last[spans] + 1, minlength=n + 1))[:n] > 0
 
     def without(self, gone: np.ndarray) -> list[bytes]:
-        """Each document's text without the chunks that ``gone`` marks; the rest is joined by line breaks."""
+        """Each document's text without the lines that ``gone`` marks; the rest is joined by line breaks."""
         out = [self.data[a:b].tobytes() for a, b in zip(self.offsets[:-1], self.offsets[1:], strict=True)]
-        for d in np.unique(self.doc[gone]):
-            mine = np.flatnonzero((self.doc == d) & ~gone)
-            out[d] = b"\n".join(self.text(i) for i in mine)
+        for d in np.unique(self.of[gone]):
+            mine = self.first[d] + np.flatnonzero(~gone[self.first[d] : self.first[d + 1]])
+            out[d] = b"\n".join(self.data[self.starts[i] : self.ends[i]].tobytes() for i in mine)
         return out
 
 
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Remove chunks of lines that occur elsewhere before.
+    """Remove passages of lines that occur elsewhere before.
 
     Lines end at ``\\n``. A hash rolling over the hashes of ``ROLL`` lines puts a
     chunk's end after a line where it is divisible by ``LINES_PER_CHUNK``, and
     after a document's last line. The boundaries hang on the lines around them
-    alone, so the same passage gets the same inner chunks wherever it stands. A
-    chunk with at least two lines that aren't blank is removed if an equal one
-    occurs before: in a document with a smaller identifier, or higher up in the
-    same document. Equal hashes propose chunks; their bytes are then compared,
-    each distinct text once. Should different chunks share a hash, each is told
-    apart by its bytes and has its own first occurrence.
+    alone, so the same passage gets the same inner chunks wherever it stands. As a
+    short passage seldom holds a whole chunk, there are two smaller scales: every
+    pair of successive lines that aren't blank, with the blank ones between, and
+    every line of more than ``ALONE`` words. A chunk with at least two lines that
+    aren't blank, a pair or a long line is removed if an equal one occurs before:
+    in a document with a smaller identifier, or higher up in the same document,
+    without overlap. So of a repeated passage of two or more lines that aren't
+    blank all of these go, whatever surrounds it. Passages may overlap: a line goes
+    if any of its passages does, and of each line the first occurrence stays.
+    Equal hashes propose passages; their bytes are then compared, each distinct
+    text once. Should different passages share a hash, each is told apart by its
+    bytes and has its own first occurrence.
 
     Only packed runs and the texts of repeated chunks, once a task, are shuffled,
     so a passage that a third of all documents hold is no hot key.
@@ -106,7 +130,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = runs.RunMaker(shards, ["min", "sum"])
         for _, _, _, own, c in scan(batches, "doc_id", "text"):
-            yield from out.add(c.key[c.multi], own[c.doc[c.multi]], np.ones(int(c.multi.sum()), np.int64))
+            yield from out.add(c.key, own[c.doc], np.ones(len(c.key), np.int64))
         yield from out.flush()
 
     repeated, _ = runs.build(texts.mapInArrow(propose, runs.RUN_SCHEMA), f"{space}/proposed", shards, ["min", "sum"], keep=lambda k, first, n: (n > 1, [first]), width=1)
@@ -119,8 +143,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
             return pa.record_batch([pa.array([k for k, _ in said], pa.int64()), pa.array([t for _, t in said], pa.binary()), pa.array(list(said.values()), pa.int64())], names=["key", "chunk", "first"])
 
         for _, _, _, own, c in scan(batches, "doc_id", "text"):
-            which = np.flatnonzero(c.multi)
-            which = which[repeated.lookup(c.key[which], [])[0]]
+            which = np.flatnonzero(repeated.lookup(c.key, [])[0])
             for i, k, d in zip(which, c.key[which].view(np.int64).tolist(), own[c.doc[which]].tolist(), strict=True):
                 at = (k, c.text(i))
                 if at not in said:
@@ -146,9 +169,8 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, own, c in scan(batches, id_col, text_col):
-            which = np.flatnonzero(c.multi)
-            found, (first,) = repeated.lookup(c.key[which])
-            which, first = which[found], first[found]
+            found, (first,) = repeated.lookup(c.key)
+            which, first = np.flatnonzero(found), first[found]
             if clash:
                 for i, k in enumerate(c.key[which].view(np.int64).tolist()):
                     if k in clash:
@@ -158,19 +180,20 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
             # further occurrences inside the first document
             mine = which[first == own[c.doc[which]]]
             if len(mine):
-                by = mine[np.lexsort((mine, c.key[mine], c.doc[mine]))]
+                by = mine[np.lexsort((c.head[mine], c.key[mine], c.doc[mine]))]
                 again = np.concatenate(([False], (c.key[by][1:] == c.key[by][:-1]) & (c.doc[by][1:] == c.doc[by][:-1])))
+                stands: dict[bytes, int] = {}
                 for i in np.flatnonzero(again):
-                    j = i - 1
-                    while again[j] and c.text(by[i]) != c.text(by[j]):
-                        j -= 1
-                    gone[by[i]] = c.text(by[i]) == c.text(by[j])
+                    if not again[i - 1]:
+                        stands = {c.text(by[i - 1]): c.last[by[i - 1]]}
+                    gone[by[i]] = c.head[by[i]] > stands.setdefault(c.text(by[i]), c.last[by[i]])
+            away = c.covered(gone)
             part = batch.slice(a, b - a)
             at = part.schema.names.index(text_col)
-            left = pa.array(c.without(gone), pa.binary()).cast(part.schema.field(at).type)
+            left = pa.array(c.without(away), pa.binary()).cast(part.schema.field(at).type)
             if part.column(at).null_count:
                 left = pc.if_else(part.column(at).is_null(), pa.scalar(None, left.type), left)
-            columns = [*part.columns[:at], left, *part.columns[at + 1 :], pa.array(c.lines, pa.int64()), pa.array(np.bincount(c.doc, weights=gone * c.size, minlength=b - a).astype(np.int64))]
+            columns = [*part.columns[:at], left, *part.columns[at + 1 :], pa.array(c.lines, pa.int64()), pa.array(np.bincount(c.of, weights=away, minlength=b - a).astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "n_lines", "n_removed"])
 
     return source.mapInArrow(cut, schema)

@@ -152,6 +152,19 @@ def test_repeated_lines_go_and_the_first_stays(spark):
         assert all(line in rest for line in left) and {f"own {i} a", f"own {i} b", f"own {i} c"} <= set(left)
 
 
+def test_short_passages_in_other_surroundings_go(spark):
+    """Passages of two to five lines and single long ones, each planted in three documents between own lines."""
+    passages = [[f"passage {p} line {k} of several" for k in range(2 + p % 4)] for p in range(40)] + [[" ".join(f"p{p}w{k}" for k in range(51))] for p in range(40, 50)]
+    rows = [(i, "\n".join(x for p, lines in enumerate(passages) for x in [f"own {i} {p}", *lines, f"own {i} {p} after"])) for i in range(3)]
+    rows += [(3, "same\nsame\nsame\nother"), (4, "lone 4\npassage 2 line 0 of several\nlone 4"), (5, "u\n\nv\nw\nu\n\nv")]
+    got = by_id(drop_repeated_chunks(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)))
+    assert got[0].text == rows[0][1]
+    for i in (1, 2):
+        assert got[i].text.split("\n") == [x for p in range(50) for x in (f"own {i} {p}", f"own {i} {p} after")]
+    # what overlaps its first occurrence stays, and so does a single short line
+    assert [got[i].text for i in (3, 4, 5)] == [rows[3][1], rows[4][1], "u\n\nv\nw"]
+
+
 def test_codec_on_odd_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
