@@ -35,6 +35,18 @@ def test_query(spark, oracle, name):
     assert found == sorted(tuple(plain(r[want.columns.index(c)]) for c in columns) for r in want.fetchall())
 
 
+@pytest.mark.parametrize(("name", "key", "among"), [("join_not_in", "p_partkey", "part"), ("join_range", "s_suppkey", "nation JOIN supplier ON n_nationkey < s_suppkey"), ("join_metadata", "c_custkey", "customer JOIN orders ON c_custkey = o_custkey")])
+def test_whole_tables(spark, name, key, among):
+    """On tables larger than the smallest, every id that has a partner is there, and the pairs are those of the SQL."""
+    large, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("part", "supplier", "customer", "orders", "nation"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{large}/{t}.parquet'")
+    out = QUERIES[name](spark, large)
+    found = sorted(tuple(r) for r in out.collect())
+    assert {r[out.columns.index(key)] for r in found} == {k for (k,) in con.sql(f"SELECT {key} FROM {among}").fetchall()}
+    assert found == sorted(con.sql(f"SELECT {', '.join(out.columns)} FROM ({SQL[name]})").fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
