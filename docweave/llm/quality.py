@@ -114,7 +114,8 @@ def fit(texts: DataFrame, labels: DataFrame, label: str = "quality", at_most: in
 
     Three quarters give the normal equations: each of at most ``TASKS`` tasks sums
     the products of its rows' features, and the driver adds those few matrices and
-    solves. The last quarter gives the calibration. Nothing else is gathered.
+    solves. The last quarter gives the calibration. The means and deviations that
+    scale the statistics are those of all texts. Nothing else is gathered.
     """
     spark = texts.sparkSession
     space = workspace(spark, "quality")
@@ -126,8 +127,16 @@ def fit(texts: DataFrame, labels: DataFrame, label: str = "quality", at_most: in
                 s = statistics(data, offsets)
                 yield pa.record_batch([batch.column("doc_id").slice(a, b - a), batch.column("y").slice(a, b - a), *(pa.array(s[:, i]) for i in range(s.shape[1]))], names=["doc_id", "y", *STATISTICS])
 
+    def every_statistic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in groups(text_array(batch.column("text"))):
+                s = statistics(data, offsets)
+                yield pa.record_batch([pa.array(s[:, i]) for i in range(s.shape[1])], names=list(STATISTICS))
+
     rows = stored(sample.mapInArrow(measure, "doc_id bigint, y int, " + ", ".join(f"{c} double" for c in STATISTICS)), f"{space}/statistics")
-    moments = rows.agg(*(F.avg(c) for c in STATISTICS), *(F.stddev_pop(c) for c in STATISTICS)).first()
+    # scaled over every document, labelled or not
+    every = texts.mapInArrow(every_statistic, ", ".join(f"{c} double" for c in STATISTICS))
+    moments = every.agg(*(F.avg(c) for c in STATISTICS), *(F.stddev_pop(c) for c in STATISTICS)).first()
     values = np.array([0.0 if v is None else v for v in moments])
     k = len(STATISTICS)
     model = Classifier(values[:k], np.where(values[k:] > 1e-9, values[k:], 1.0))

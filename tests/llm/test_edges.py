@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm import near_dedup
+from docweave.llm import near_dedup, quality
 from docweave.llm.bpe import Codec, decode, encode
 from docweave.llm.decontaminate import benchmark_hits
 from docweave.llm.exact_dedup import exact_groups
@@ -165,6 +165,18 @@ def test_short_passages_in_other_surroundings_go(spark):
     assert [got[i].text for i in (3, 4, 5)] == [rows[3][1], rows[4][1], "u\n\nv\nw"]
 
 
+def test_quality_is_scaled_over_every_document(spark):
+    """Only two documents have labels; the means are those of all."""
+    texts = {i: " ".join(f"word{k}" for k in range(5 + i)) for i in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    marks = spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, quality int")
+    model = quality.fit(docs, marks)
+    data = np.frombuffer("".join(texts.values()).encode(), np.uint8)
+    stats = quality.statistics(data, np.concatenate(([0], np.cumsum([len(t) for t in texts.values()]))))
+    assert np.allclose(model.mean, stats.mean(axis=0))
+    assert np.allclose(model.scale, np.where(stats.std(axis=0) > 1e-9, stats.std(axis=0), 1.0))
+
+
 def test_codec_on_odd_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
