@@ -5,22 +5,27 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkernel import groups, lists, text_array
+
 #: The word splitting of byte-level BPE, as its published description has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PIECES = regex.compile(PATTERN)
-#: A fragment ends at the first certain cut after so many bytes.
-FRAGMENT = 4096
-#: Bytes of text that a worker has in hand at once.
+#: Fragments up to so many bytes are remembered, and how many of them; then a worker starts to remember anew.
+SHORT, REMEMBERED = 48, 1 << 18
+#: Bytes of ids that a worker has in hand at once while it decodes.
 GROUP = 1 << 20
+#: Kinds of characters that the word splitting tells apart.
+LETTER, NUMBER, WHITE, OTHER = range(4)
+APOSTROPHE = 0x27
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -31,14 +36,27 @@ def byte_alphabet() -> dict[str, int]:
     return out
 
 
+def character_kinds() -> np.ndarray:
+    """The kind of every code point."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    points = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000)))
+    every = "".join(map(chr, points.tolist()))
+    for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\p{White_Space}+")):
+        for m in regex.finditer(name, every):
+            out[points[m.start() : m.end()]] = kind
+    return out
+
+
 class Codec:
     """Encoder and decoder for one vocabulary file.
 
     Two neighbouring bytes that stand inside no token can never end up in one
-    token, as each merge makes a token: between them is a certain cut. Where both
-    neighbours are letters the word splitting can't tell either, since a run of
-    letters stays a run of letters on both sides. A text is cut at such places,
-    its fragments are encoded independently, and their ids are put together.
+    token, as each merge makes a token: between them is a certain cut. A text is
+    cut at every such place where the word splitting, too, does the same on both
+    sides whether or not it sees the other: after white space it doesn't, nor
+    around an apostrophe that may begin a contraction. The fragments, mostly a word
+    with the space before it, are encoded independently by merging, each distinct
+    one once for as long as it is remembered, and their ids are put together.
     """
 
     def __init__(self, path: str):
@@ -48,7 +66,6 @@ class Codec:
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         raw = lambda token: bytes(alphabet[c] for c in token)
         vocab = {t: i for t, i in model["vocab"].items() if t not in special}
-        self.special = special
         self.token = [b""] * (max([*vocab.values(), *special.values()]) + 1)
         for t, i in vocab.items():
             self.token[i] = raw(t)
@@ -63,28 +80,34 @@ class Codec:
         for t in vocab:
             b = np.frombuffer(raw(t), np.uint8)
             self.inside[b[:-1], b[1:]] = True
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        # where ids follow the order of the merges, compiled code can merge by id
-        order = [m for _, m in sorted(self.rank.values())]
-        ranks = {x: i for i, x in enumerate(self.token) if x and i not in special.values()}
-        self.compiled = None
-        if order == sorted(order) and all(bytes([b]) in ranks for b in range(256)):
-            self.compiled = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-
-    def cuts(self, raw: bytes, least: int = FRAGMENT) -> list[int]:
-        """The first certain cut after every ``least`` bytes."""
-        if len(raw) <= least:
-            return []
-        d = np.frombuffer(raw, np.uint8)
-        ascii_letter = ((d | 32) >= 97) & ((d | 32) <= 122)
-        # two-byte letters from U+00C0 on; other alphabets are simply not cut
-        lead = np.zeros(len(d), bool)
-        lead[:-1] = (d[:-1] == 0xC3) & (d[1:] != 0x97) & (d[1:] != 0xB7)
-        tail = np.concatenate(([False], lead[:-1]))
-        certain = ~self.inside[d[:-1], d[1:]] & (ascii_letter | tail)[:-1] & (ascii_letter | lead)[1:]
-        at = np.flatnonzero(certain) + 1
-        pick = np.searchsorted(at, np.arange(least, len(d), least))
-        return sorted({int(x) for x in at[pick[pick < len(at)]]})
+        self.kind = character_kinds()
+        self.special = {t.encode(): i for t, i in special.items()}
+        self.find_special = regex.compile(b"|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if special else None
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def kinds(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each byte, the kind of its character, and whether it is the character's first."""
+        if not len(data) or int(data.max()) < 0x80:
+            return self.kind[data], np.ones(len(data), bool)
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        size = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        head = np.zeros(len(data), bool)
+        head[np.cumsum(size) - size] = True
+        return np.repeat(self.kind[points], size), head
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Every certain cut of the UTF-8 bytes ``data`` that the word splitting allows."""
+        if len(data) < 2:
+            return np.zeros(0, np.int64)
+        kind, head = self.kinds(data)
+        left, right, mark = kind[:-1], kind[1:], data == APOSTROPHE
+        allowed = head[1:] & (left != WHITE)
+        # no fragment may begin with an apostrophe that stands inside a run of other characters
+        allowed &= ~((left == OTHER) & mark[1:])
+        # nor may one end inside a contraction of two or three characters
+        allowed &= ~(mark[:-1] & (right == LETTER))
+        allowed[1:] &= ~(mark[:-2] & (left[1:] == LETTER) & (right[1:] == LETTER))
+        return np.flatnonzero(allowed & ~self.inside[data[:-1], data[1:]]) + 1
 
     def merge(self, piece: bytes) -> list[int]:
         """Merge the lowest-ranked neighbours of a piece, leftmost first, until none is left."""
@@ -108,26 +131,50 @@ class Codec:
                 heapq.heappush(heap, (r[0], h, ids[h], made, r[1]))
         return [x for x in ids if x >= 0]
 
-    def fragment(self, text: str) -> list[int]:
+    def fragment(self, raw: bytes) -> tuple[int, ...]:
         """The ids of one fragment."""
-        if self.compiled:
-            return self.compiled(text)
-        return [i for piece in PIECES.findall(text) for i in self.merge(piece.encode())]
+        ids = tuple(i for piece in PIECES.findall(raw.decode()) for i in self.merge(piece.encode()))
+        if len(raw) <= SHORT:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[raw] = ids
+        return ids
+
+    def specials(self, raw: bytes, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Begin and end of the text of each special token inside a document."""
+        spans, at = [], 0
+        while self.find_special and (m := self.find_special.search(raw, at)):
+            begin, at = m.span()
+            edge = int(offsets[np.searchsorted(offsets, begin, "right")])
+            if at <= edge:
+                spans.append((begin, at))
+            else:
+                at = edge
+        return spans
+
+    def encode_group(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole documents that lie one after another, and how many each has."""
+        raw, docs = data.tobytes(), len(offsets) - 1
+        special = self.specials(raw, offsets)
+        cut = np.zeros(len(data) + 1, bool)
+        cut[self.cuts(data)] = True
+        for a, b in special:
+            cut[a:b] = False
+            cut[[a, b]] = True
+        cut[offsets] = True
+        edges = np.flatnonzero(cut)
+        bounds, known, fragment = edges.tolist(), self.known, self.fragment
+        ids = [known.get(f) or fragment(f) for f in [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]]
+        for a, b in special:
+            ids[int(np.searchsorted(edges, a))] = (self.special[raw[a:b]],)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(edges, offsets)]
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), np.diff(total) if docs else np.zeros(0, np.int64)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text; the text of a special token becomes that token."""
-        out: list[int] = []
-        for part in self.split_special.split(text) if self.split_special else [text]:
-            if part in self.special:
-                out.append(self.special[part])
-            elif len(part) <= FRAGMENT // 4:
-                out += self.fragment(part)
-            else:
-                raw = part.encode()
-                cuts = [0, *self.cuts(raw), len(raw)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    out += self.fragment(raw[a:b].decode())
-        return np.array(out, np.int32)
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_group(data, np.array([0, len(data)]))[0]
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of the ids, special tokens included; broken UTF-8 becomes U+FFFD.
@@ -171,12 +218,9 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for batch in batches:
-            for part in _in_groups(batch, text_col):
-                ids = [c.encode(t) if t else np.zeros(0, np.int32) for t in part.column(text_col).to_pylist()]
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=offsets[1:])
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, out])
+            for a, b, data, offsets in groups(text_array(batch.column(text_col))):
+                part, (ids, counts) = batch.slice(a, b - a), c.encode_group(data, offsets)
+                yield pa.RecordBatch.from_arrays([*part.columns, lists(ids, counts, pa.int32())], [*part.schema.names, out])
 
     return rest.mapInArrow(run, schema)
 

@@ -190,7 +190,25 @@ def test_codec_on_odd_texts():
         ids = t.encode(x, add_special_tokens=False).ids
         assert c.encode(x).tolist() == ids and c.decode(ids) == t.decode(ids, skip_special_tokens=False)
         assert [i for part in [c.encode(x)] for i in part] == ids
-    # the merging in Python that serves vocabularies without compiled code
-    c.compiled = None
-    for x in texts[:100]:
-        assert c.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+    # many short documents in one group
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate(([0], np.cumsum([len(x.encode()) for x in texts])))
+    ids, counts = c.encode_group(data, offsets)
+    assert counts.tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert ids.tolist() == [i for x in texts for i in t.encode(x, add_special_tokens=False).ids]
+    # a special token never spans two documents
+    assert c.encode_group(np.frombuffer(b"<|endoftext|>", np.uint8), np.array([0, 5, 13]))[0].tolist() == t.encode("<|end", add_special_tokens=False).ids + t.encode("oftext|>", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["a short text, two words", "Ещё один день", "ένα δύο τρία", "中文 和 日本語", "don't we'll x's"])
+def test_cuts_are_certain_in_short_texts_of_any_alphabet(text):
+    """Every cut parts bytes that no token holds together, and fragments give the ids of the whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, c, raw = Tokenizer.from_file(path), Codec(path), text.encode()
+    cuts = [0, *c.cuts(np.frombuffer(raw, np.uint8)).tolist(), len(raw)]
+    assert len(cuts) - 2 >= text.count(" ")
+    for a in cuts[1:-1]:
+        assert not any(raw[a - 1 : a + 1] in token for i, token in enumerate(c.token) if i not in c.special.values())
+    assert [i for a, b in zip(cuts, cuts[1:], strict=False) for i in t.encode(raw[a:b].decode(), add_special_tokens=False).ids] == t.encode(text, add_special_tokens=False).ids
