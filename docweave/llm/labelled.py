@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import held_out, stored
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int, modulus: int, remainder: int, path: str) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int, modulus: int, remainder: int, path: str, bytes_at_most: int | None = None) -> DataFrame:
     """At most ``at_most`` documents (doc_id, text) with ``label`` as ``y``, never held-out ones.
 
     The sample is the labelled identifiers with the smallest hashes, so it does not
     depend on how the table is laid out. If an identifier has several labels the
     largest holds. The broadcast side is that sample's identifiers, bounded by
     ``at_most``. Documents that repeat an identifier count once, by their largest text.
+    With ``bytes_at_most``, the sample ends before the document with which its texts
+    would have more bytes together; the lengths of ``at_most`` texts are added up in one task.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most)
     joined = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y"))
-    return stored(joined, path)
+    sample = stored(joined, path)
+    if bytes_at_most is None:
+        return sample
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    whole = sample.select("doc_id", upto.alias("upto")).where(F.col("upto") <= bytes_at_most).select("doc_id")
+    return sample.join(F.broadcast(whole), "doc_id")
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

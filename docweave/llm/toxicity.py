@@ -14,18 +14,17 @@ from .labelled import isotonic, labelled_sample
 from .shared import id_and_text, workspace
 from .textkernel import U, Words, groups, mix, span_hashes, text_array
 
-#: Bound of the labelled sample that the model is fitted on.
-TRAIN_DOCS = 30_000
-#: A term is a feature if so many sample documents hold it and its chi-square with the label is so large.
-LEAST_DOCS, LEAST_CHI = 4, 12.0
-#: Features at most: the strongest, so the model's size has a bound.
-MOST_TERMS = 1 << 15
-FACTORS, EPOCHS, RATE, L2 = 6, 30, 0.1, 1e-3
+#: Bounds of the labelled sample that the model is fitted on: documents, and bytes of their whole texts.
+TRAIN_DOCS, TRAIN_BYTES = 30_000, 256 << 20
+#: Terms are hashed into two to the power of so many buckets; each is a feature.
+BITS = 18
+FACTORS, EPOCHS, BLOCKS, RATE, L2 = 4, 8, 32, 0.05, 1e-5
+#: A bucket's value in a text is its chi-square with the label over the first, at least the second and at most 1.
+FULL_CHI, FLOOR = 24.0, 0.05
 #: Bytes of the beginnings of longer words that are terms too.
 PREFIXES = (4, 5)
 #: A term that occurs twice or more and makes up such a share of the words is a further feature for each share.
 RATES = (1 / 128, 1 / 64, 1 / 32)
-BITS = 22
 _LEVEL = U(3)
 
 
@@ -59,140 +58,123 @@ def leveled(keys: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     return out[order], docs[order]
 
 
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket) of every term of the documents, in order and each once."""
+    words, h = alnum_words(data, offsets)
+    keys, doc = leveled(*terms(words, h), words.counts)
+    both = np.unique(doc.astype(np.int64) << BITS | (mix(keys) >> U(64 - BITS)).astype(np.int64))
+    return both >> BITS, (both & ((1 << BITS) - 1)).astype(np.int32)
+
+
 class Machine:
-    """score = bias + sum of weights + sum over pairs of <v_i, v_j>, over the terms of a text."""
+    """score = bias + sum of w_i x_i + sum over pairs of <v_i, v_j> x_i x_j, over the buckets of a text.
 
-    def __init__(self, keys: np.ndarray, seed: int = 3):
-        self.keys = np.sort(keys)
-        self.terms = np.unique(self.keys & ~_LEVEL)
+    Every bucket takes part, so that terms which are neutral alone can interact;
+    one that does not go with the label by itself has a small value x.
+    """
+
+    def __init__(self, seed: int = 3):
         random = np.random.default_rng(seed)
-        self.bias, self.w, self.v = 0.0, np.zeros(len(keys)), random.normal(scale=0.01, size=(len(keys), FACTORS))
-        self.x, self.p = np.array([-1.0, 1.0]), np.array([0.5, 0.5])
-        self.seen: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"seen": None}
-
-    def features(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(feature, document) of every known term of the documents."""
-        if self.seen is None:
-            self.seen = np.zeros(1 << BITS, bool)
-            self.seen[self.keys >> U(64 - BITS)] = True
-        if not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        words, h = alnum_words(data, offsets)
-        keys, doc = terms(words, h)
-        maybe = self.seen[keys >> U(64 - BITS)]
-        keys, doc = keys[maybe], doc[maybe]
-        hit = self._at(self.terms, keys)[0]
-        keys, doc = leveled(keys[hit], doc[hit], words.counts)
-        hit, at = self._at(self.keys, keys)
-        return at[hit], doc[hit]
-
-    @staticmethod
-    def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is in the sorted table, and where."""
-        at = np.searchsorted(table, keys)
-        at[at == len(table)] = 0
-        return table[at] == keys, at
-
-    def raw(self, feature: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-        out = self.bias + np.bincount(doc, weights=self.w[feature], minlength=n)
-        for f in range(FACTORS):
-            v = self.v[feature, f]
-            out += 0.5 * (np.bincount(doc, weights=v, minlength=n) ** 2 - np.bincount(doc, weights=v * v, minlength=n))
-        return out
-
-    def fit(self, feature: np.ndarray, doc: np.ndarray, y: np.ndarray, seed: int = 5) -> None:
-        """Minimise the logistic loss with AdaGrad over small batches of documents."""
+        self.bias, self.w = 0.0, np.zeros(1 << BITS, np.float32)
+        self.v = random.normal(scale=0.02, size=(1 << BITS, FACTORS)).astype(np.float32)
+        self.value = np.full(1 << BITS, FLOOR, np.float32)
+        self.x, self.p = np.array([0.0]), np.array([0.5])
+
+    def _forward(self, bucket: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Raw scores of documents with so many buckets each, the sums of their factors, and each bucket's part of them."""
+        n, some = len(counts), np.flatnonzero(counts)
+        first = (np.cumsum(counts) - counts)[some]
+        own = self.v[bucket] * self.value[bucket][:, None]
+        sums, squares, linear = np.zeros((n, FACTORS), np.float32), np.zeros(n, np.float32), np.zeros(n, np.float32)
+        if len(some):
+            sums[some] = np.add.reduceat(own, first, axis=0)
+            squares[some] = np.add.reduceat((own * own).sum(axis=1), first)
+            linear[some] = np.add.reduceat(self.w[bucket] * self.value[bucket], first)
+        return self.bias + linear + 0.5 * ((sums * sums).sum(axis=1) - squares), sums, own
+
+    def raw(self, bucket: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return self._forward(bucket, counts)[0].astype(np.float64)
+
+    def fit(self, bucket: np.ndarray, counts: np.ndarray, y: np.ndarray, seed: int = 5) -> None:
+        """Minimise the logistic loss with AdaGrad over blocks of documents."""
         n, random = len(y), np.random.default_rng(seed)
-        first = np.searchsorted(doc, np.arange(n + 1))
-        share = min(max(y.mean(), 1e-3), 1 - 1e-3) if n else 0.5
+        first, doc = np.cumsum(counts) - counts, np.repeat(np.arange(n), counts)
+        share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
         self.bias = float(np.log(share / (1 - share)))
-        gw, gv, gb = np.full(len(self.w), 1e-2), np.full(self.v.shape, 1e-2), 1e-2
+        held = np.bincount(bucket, minlength=1 << BITS)
+        expected = held * share
+        # with a continuity correction, as most buckets are held by few documents
+        off = np.maximum(np.abs(np.bincount(bucket, weights=y[doc], minlength=1 << BITS) - expected) - 0.5, 0)
+        self.value = np.clip(off**2 / np.maximum(expected * (1 - share), 1e-9) / FULL_CHI, FLOOR, 1).astype(np.float32)
+        gw, gv = np.full(self.w.shape, 1e-6, np.float32), np.full(self.v.shape, 1e-6, np.float32)
+        blocks = np.array_split(random.permutation(n), min(BLOCKS, n))
         for _ in range(EPOCHS):
-            order = random.permutation(n)
-            for at in range(0, n, 256):
-                rows = order[at : at + 256]
-                size = first[rows + 1] - first[rows]
-                own = np.repeat(np.arange(len(rows)), size)
-                entry = np.repeat(first[rows] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                f = feature[entry]
-                err = 1 / (1 + np.exp(-np.clip(self.raw(f, own, len(rows)), -30, 30))) - y[rows]
-                sums = np.zeros((len(rows), FACTORS))
-                np.add.at(sums, own, self.v[f])
-                step = err[own]
-                used, where = np.unique(f, return_inverse=True)
-                dw = np.bincount(where, weights=step, minlength=len(used)) / len(rows) + L2 / 10 * self.w[used]
-                dv = np.zeros((len(used), FACTORS))
-                np.add.at(dv, where, step[:, None] * (sums[own] - self.v[f]))
-                dv = dv / len(rows) + L2 * self.v[used]
+            for i in random.permutation(len(blocks)):
+                rows = np.sort(blocks[i])
+                size = counts[rows]
+                f = bucket[np.repeat(first[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                raw, sums, own = self._forward(f, size)
+                err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[rows]).astype(np.float32)
+                self.bias -= RATE * float(err.mean())
+                if not len(f):
+                    continue
+                # gradients are summed over the entries of each bucket
+                of = np.repeat(np.arange(len(rows)), size)
+                step = err[of] * self.value[f]
+                order = np.argsort(f, kind="stable")
+                begin = np.flatnonzero(np.diff(f[order], prepend=-1))
+                used = f[order][begin]
+                dw = np.add.reduceat(step[order], begin) / len(rows) + L2 * self.w[used]
+                dv = np.add.reduceat(((sums[of] - own) * step[:, None])[order], begin, axis=0) / len(rows) + L2 * self.v[used]
                 gw[used] += dw**2
                 gv[used] += dv**2
                 self.w[used] -= RATE * dw / np.sqrt(gw[used])
-                self.v[used] -= RATE / 4 * dv / np.sqrt(gv[used])
-                db = float(err.mean())
-                gb += db * db
-                self.bias -= RATE / 4 * db / np.sqrt(gb)
+                self.v[used] -= RATE / 2 * dv / np.sqrt(gv[used])
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        feature, doc = self.features(data, offsets)
-        return np.interp(self.raw(feature, doc, len(offsets) - 1), self.x, self.p)
+        doc, bucket = features(data, offsets)
+        return np.interp(self.raw(bucket, np.bincount(doc, minlength=len(offsets) - 1)), self.x, self.p)
 
 
-def fit(texts: DataFrame, labels: DataFrame, label: str = "toxic", at_most: int = TRAIN_DOCS, modulus: int = 4, remainder: int = 2) -> Machine:
-    """Fit on at most ``at_most`` labelled documents outside the held-out ones.
+def fit(texts: DataFrame, labels: DataFrame, label: str = "toxic", at_most: int = TRAIN_DOCS, bytes_at_most: int = TRAIN_BYTES, modulus: int = 4, remainder: int = 2) -> Machine:
+    """Fit on at most ``at_most`` labelled documents outside the held-out ones, of ``bytes_at_most`` bytes together.
 
-    Spark counts, for every hashed term of the sample, the documents of either
-    label; terms that are frequent enough and go with the label become features.
-    The driver gets those terms and the few of them that each document holds.
+    Spark turns the sample into sorted, packed runs of (document, bucket), which
+    come to the driver: a few bytes for each distinct term of a document, and so
+    bounded by the bytes of the sample. Four fifths fit the machine, the last fifth
+    its calibration. The model's size is fixed by ``BITS``, whatever the vocabulary.
     """
-    spark = texts.sparkSession
-    space, shards = workspace(spark, "toxicity"), 64
-    sample = labelled_sample(texts, labels, label, at_most, modulus, remainder, f"{space}/sample")
-    positives, total = (int(x or 0) for x in sample.selectExpr("sum(cast(y > 0 as int))", "count(*)").first())
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = runs.RunMaker(shards, ["sum", "sum"])
-        for batch in batches:
-            y = (batch.column("y").to_numpy() > 0).astype(np.int64)
-            for a, _, data, offsets in groups(text_array(batch.column("text"))):
-                words, h = alnum_words(data, offsets)
-                keys, doc = leveled(*terms(words, h), words.counts)
-                yield from out.add(keys, np.ones(len(keys), np.int64), y[a + doc])
-        yield from out.flush()
-
-    def chi(n: np.ndarray, bad: np.ndarray) -> np.ndarray:
-        expected = n * positives / max(total, 1)
-        return (bad - expected) ** 2 / np.maximum(expected * (1 - positives / max(total, 1)), 1e-9)
-
-    store, _ = runs.build(sample.mapInArrow(count, runs.RUN_SCHEMA), f"{space}/terms", shards, ["sum", "sum"], keep=lambda k, n, bad: (n >= LEAST_DOCS) & (chi(n, bad) >= LEAST_CHI))
-    found = [(np.asarray(store.column(s, 0)), chi(np.asarray(store.column(s, 1)), np.asarray(store.column(s, 2)))) for s in sorted(store.full)]
-    keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.uint64)
-    if len(keys) > MOST_TERMS:
-        keys = keys[np.argsort(-np.concatenate([c for _, c in found]), kind="stable")[:MOST_TERMS]]
-    model = Machine(keys)
+    sample = labelled_sample(texts, labels, label, at_most, modulus, remainder, f"{workspace(texts.sparkSession, 'toxicity')}/sample", bytes_at_most)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in groups(text_array(batch.column("text"))):
-                feature, doc = model.features(data, offsets)
-                cut = np.searchsorted(doc, np.arange(b - a + 1))
-                yield pa.record_batch([batch.column("doc_id").slice(a, b - a), batch.column("y").slice(a, b - a), pa.array([feature[i:j].astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "y", "features"])
-
-    rows = sample.mapInArrow(encode, "doc_id bigint, y int, features binary").toArrow().sort_by("doc_id")
-    if rows.num_rows and len(keys):
-        y = (rows.column("y").to_numpy() > 0).astype(float)
-        each = [np.frombuffer(x, np.int32) for x in rows.column("features").to_pylist()]
-        fold = np.arange(len(y)) % 5 == 0
-
-        def flat(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            own = [each[i] for i in which]
-            return np.concatenate(own).astype(np.int64), np.repeat(np.arange(len(own)), [len(x) for x in own])
-
-        fit_rows, check_rows = np.flatnonzero(~fold), np.flatnonzero(fold)
+                doc, bucket = features(data, offsets)
+                run = runs.pack((doc << BITS | bucket).astype(np.uint64), [])
+                ids, y = (batch.column(c).slice(a, b - a).to_pylist() for c in ("doc_id", "y"))
+                yield pa.record_batch([pa.array([ids], pa.list_(pa.int64())), pa.array([y], pa.list_(pa.int32())), pa.array([run], pa.binary())], names=["ids", "y", "run"])
+
+    model, parts = Machine(), sample.mapInArrow(encode, "ids array<bigint>, y array<int>, run binary").collect()
+    if not parts:
+        return model
+    ids, y = (np.array([x for r in parts for x in r[c]]) for c in ("ids", "y"))
+    counts, buckets = [], []
+    for r in parts:
+        keys = runs.unpack(r["run"])[0].astype(np.int64)
+        counts.append(np.bincount(keys >> BITS, minlength=len(r["ids"])))
+        buckets.append((keys & ((1 << BITS) - 1)).astype(np.int32))
+    counts, buckets, parts = np.concatenate(counts), np.concatenate(buckets), None
+    first, order, y = np.cumsum(counts) - counts, np.argsort(ids), (y > 0).astype(float)
+
+    def flat(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = counts[rows]
+        return buckets[np.repeat(first[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
+    last = np.arange(len(order)) % 5 == 0
+    fit_rows, check_rows = order[~last], order[last]
+    if len(fit_rows):
         model.fit(*flat(fit_rows), y[fit_rows])
-        model.x, model.p = isotonic(model.raw(*flat(check_rows), len(check_rows)), y[check_rows])
+    model.x, model.p = isotonic(model.raw(*flat(check_rows)), y[check_rows])
     return model
 
 
@@ -201,8 +183,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     A-Z is lower-cased; words are runs of ASCII letters and digits or bytes of other
     alphabets. Words and their beginnings are terms; a term's presence and the shares of
-    the text that it reaches are its features, however long the text. Null counts as empty.
-    Without usable labels every score is 0.5. Other columns are ignored.
+    the text that it reaches are hashed into buckets, however long the text; no term is
+    left out. Null counts as empty. Without usable labels every score is 0.5. Rows that
+    repeat an identifier are scored one by one. Other columns are ignored.
 
     Returns doc_id, score.
     """
