@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, stored, workspace
+from .shared import id_and_text, input_bytes, stored, workspace
 
-#: Runs at the leaves of the merge tree, and how many runs meet in one merge.
-RUNS, FAN_IN = 16, 4
+#: Runs at the leaves of the merge tree: so many, doubled until a run stands for no more bytes of input than this.
+RUNS, BYTES_A_RUN = 16, 32 << 30
 KEY = ("digest", "check", "length")
 
 
@@ -16,9 +16,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Groups of documents whose texts are equal without white space.
 
     The text loses every character of ``[\\x20\\x09-\\x0D]`` and is then
-    digested. Rows fall into ``RUNS`` runs by identifier. Each run is reduced to
-    one entry a digest; then ``FAN_IN`` runs at a time are merged until one is
-    left. An entry keeps the number of rows and the best row: most code points in
+    digested. Rows fall into ``RUNS`` runs by identifier, into more where the input
+    is larger. Each run is reduced to one entry a digest; then, in binomial rounds,
+    the upper half of the runs is merged into the lower half until one is left. A
+    run is spread over many tasks, so no round gathers one in a task. An entry keeps the number of rows and the best row: most code points in
     the original text, then the smallest identifier. The aggregates are structs,
     which Spark merges with sort-based aggregation, so every level merges runs
     sorted by digest. Entries meet only if SHA-256, a second 64-bit hash and the
@@ -48,14 +49,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         f"{space}/digests",
     )
-    best = F.struct((-F.col("chars")).alias("fewer"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    runs = digests.select(*KEY, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(RUNS)).cast("int").alias("run"), best.alias("best"), F.lit(1).cast("long").alias("n"))
     count = RUNS
+    while count * BYTES_A_RUN < input_bytes(docs):
+        count *= 2
+    best = F.struct((-F.col("chars")).alias("fewer"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    runs = digests.select(*KEY, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(count)).cast("int").alias("run"), best.alias("best"), F.lit(1).cast("long").alias("n"))
     while True:
         runs = runs.groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
         if count == 1:
             break
-        count = max(1, count // FAN_IN)
+        count //= 2
         runs = runs.withColumn("run", F.pmod("run", F.lit(count)))
     # unique texts need no partner; only true groups are joined back
     found = stored(runs.where("n > 1").select(*KEY, F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "n"), f"{space}/groups")

@@ -5,6 +5,12 @@ bits of the key), with equal keys already reduced. A run travels as one packed
 binary, so a shuffle moves a few bytes a key and no JVM row for each. A reducer
 merges the runs of one shard and writes them as sorted arrays into the shared
 folder. A key that a third of all rows share costs one entry in each run.
+
+With more than ``SPREAD`` shards, runs are merged in two levels: a map task makes
+one run for each of ``SPREAD`` ranges of shards; then the runs of one range and
+some of the map tasks are merged, and parted by shard. So a map task never makes
+more than ``SPREAD`` runs a flush, and a shard's reducer reads no more than
+shards / ``SPREAD`` of them.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import mounted
 
@@ -24,6 +31,8 @@ RUN_SCHEMA = "shard int, run binary"
 _ARROW = pa.schema([("shard", pa.int32()), ("run", pa.binary())])
 #: Entries that a map task gathers before it emits runs.
 FLUSH = 3_000_000
+#: Runs that a map task makes a flush at the most, a power of two.
+SPREAD = 512
 REDUCE = {"sum": np.add, "min": np.minimum, "max": np.maximum}
 
 
@@ -50,20 +59,41 @@ def unpack(run: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def reduce_sorted(keys: np.ndarray, columns: Sequence[np.ndarray], how: Sequence[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sort by key and reduce each column over equal keys."""
+    """Sort by key and reduce each column over equal keys; ``with`` takes the least value beside the least of the first column."""
     if not len(keys):
         return keys, list(columns)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], [REDUCE[h].reduceat(c[order], first) for c, h in zip(columns, how, strict=True)]
+    out: list[np.ndarray] = []
+    for c, h in zip(columns, how, strict=True):
+        if h == "with":
+            least = columns[0][order] == np.repeat(out[0], np.diff(np.append(first, len(keys))))
+            out.append(np.minimum.reduceat(np.where(least, c[order], np.iinfo(np.int64).max), first))
+        else:
+            out.append(REDUCE[h].reduceat(c[order], first))
+    return keys[first], out
+
+
+def parted(keys: np.ndarray, cols: Sequence[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """Sorted entries as one packed run for each value of the keys' leading bits."""
+    which = keys >> np.uint64(64 - bits)
+    heads = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    for a, b in zip(heads, np.append(heads[1:], len(keys)), strict=True):
+        yield pa.record_batch([pa.array([int(which[a])], pa.int32()), pa.array([pack(keys[a:b], [c[a:b] for c in cols])], pa.binary())], schema=_ARROW)
+
+
+def merged(runs: pa.ChunkedArray, how: Sequence[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The entries of packed runs, reduced."""
+    parts = [unpack(x.as_py()) for x in runs.combine_chunks()]
+    return reduce_sorted(np.concatenate([p[0] for p in parts]), [np.concatenate([p[1][i] for p in parts]) for i in range(len(how))], how)
 
 
 class RunMaker:
     """Gathers keys and columns of a map task; gives record batches of packed runs."""
 
-    def __init__(self, shards: int, how: Sequence[str]):
-        self.bits, self.how = shards.bit_length() - 1, list(how)
+    def __init__(self, shards: int, how: Sequence[str], spread: int = SPREAD):
+        self.bits, self.how = min(shards, spread).bit_length() - 1, list(how)
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
@@ -80,13 +110,10 @@ class RunMaker:
             self.parts, self.size = [], 0
             keys, cols = reduce_sorted(joined[0], joined[1:], self.how)
             del joined
-            cut = np.searchsorted(keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1))
-            for s in range(1 << self.bits):
-                if (a := cut[s]) < (b := cut[s + 1]):
-                    yield pa.record_batch([pa.array([s], pa.int32()), pa.array([pack(keys[a:b], [c[a:b] for c in cols])], pa.binary())], schema=_ARROW)
+            yield from parted(keys, cols, self.bits)
 
 
-def build(runs: DataFrame, path: str, shards: int, how: Sequence[str], keep: Callable | None = None, summary: Callable | None = None, n_sums: int = 0, width: int | None = None) -> tuple[Store, list[float]]:
+def build(runs: DataFrame, path: str, shards: int, how: Sequence[str], keep: Callable | None = None, summary: Callable | None = None, n_sums: int = 0, width: int | None = None, spread: int = SPREAD) -> tuple[Store, list[float]]:
     """Merge the runs of each shard and write its sorted arrays below ``path``.
 
     ``keep(keys, *columns)`` gives a mask of the entries to store, or a tuple of
@@ -100,10 +127,8 @@ def build(runs: DataFrame, path: str, shards: int, how: Sequence[str], keep: Cal
     how = list(how)
 
     def merge(table: pa.Table) -> pa.Table:
-        parts = [unpack(x.as_py()) for x in table.column("run").combine_chunks()]
         shard = table.column("shard")[0].as_py()
-        keys, cols = reduce_sorted(np.concatenate([p[0] for p in parts]), [np.concatenate([p[1][i] for p in parts]) for i in range(len(how))], how)
-        del parts
+        keys, cols = merged(table.column("run"), how)
         sums = [float(x) for x in summary(keys, *cols)] if summary else []
         if keep:
             mask = keep(keys, *cols)
@@ -118,6 +143,14 @@ def build(runs: DataFrame, path: str, shards: int, how: Sequence[str], keep: Cal
             os.replace(part, f"{folder}/{shard}.{i}.npy")
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "sums": pa.array([sums], pa.list_(pa.float64()))})
 
+    if shards > spread:
+        bits = shards.bit_length() - 1
+
+        def part(table: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(parted(*merged(table.column("run"), how), bits), _ARROW)
+
+        some = F.pmod(F.hash(F.spark_partition_id()), F.lit(shards // spread)).alias("some")
+        runs = runs.select("shard", "run", some).groupBy("shard", "some").applyInArrow(part, RUN_SCHEMA)
     rows = runs.groupBy("shard").applyInArrow(merge, "shard int, n bigint, sums array<double>").collect()
     total = [sum(r["sums"][i] for r in rows) for i in range(n_sums)]
     return Store(folder, shards, width if width is not None else len(how), frozenset(r["shard"] for r in rows if r["n"]), sum(r["n"] for r in rows)), total

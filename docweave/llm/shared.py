@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which every executor sees.
 
-    Only where it is unset (tests, a laptop) a folder of this machine is taken.
+    Only where it is unset and Spark runs in this one process (tests, a laptop), a
+    folder of this machine is taken; on a cluster that is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="docweave-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")

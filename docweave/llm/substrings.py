@@ -81,23 +81,25 @@ def repeated_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. The documents of a map task are
     a reference block; a block is indexed by the hash of each of its windows, with
-    the smallest identifier that holds it. Blocks are indexed in two steps, so that
-    text which occurs once costs little: first only anchors, the least seed hash in
-    each window, about every fifth word; then, under anchors which two documents
-    share, all windows. The runs of all blocks merge into sorted arrays in the
-    shared folder. Each document is then parsed against every block at once: from
-    the first window that the reference holds in an earlier document, the factor
-    grows greedily while the next window is held too. A factor's first and last
-    windows are confirmed by an independent hash; what is unconfirmed is cut off
-    the factor. All windows are judged on the input. The parse reads text where it
-    lies: nothing is shuffled but packed runs, in which a passage that very many
-    documents share is one entry a task.
+    the smallest identifier that holds it and the first position there. Blocks are
+    indexed in two steps, so that text which occurs once costs little: first only
+    anchors, the least seed hash in each window, about every fifth word; then, under
+    anchors which two documents share, all windows. The runs of all blocks merge
+    into sorted arrays in the shared folder. Each document is then parsed greedily
+    against every block at once: at a window that an earlier document holds, a
+    factor begins as a copy of that position, and it grows as long as the next
+    window is a copy of the next position there; where it ends, the next factor may
+    begin, also inside the reach of the last one. Every window of a factor, its
+    boundaries with it, is confirmed by a second, independent hash. All windows are
+    judged on the input. The parse reads text where it lies: nothing is shuffled but
+    packed runs, in which a passage that very many documents share is one entry a task.
 
     Null text has no words; a null identifier is larger than any other; rows with
     one identifier are no earlier than each other. Other columns are ignored.
 
-    Returns doc_id, n_words, n_removed, factors (array<int>: begin and end of each
-    factor in words), kept (the text left, its words joined by one space).
+    Returns doc_id, n_words, n_removed, factors (array of structs: begin and end in
+    words; source, the identifier of the document that is copied, and at, the word
+    where the copy begins there), kept (the text left, its words joined by one space).
     """
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col)
@@ -116,52 +118,49 @@ def repeated_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
     shared, _ = runs.build(texts.mapInArrow(anchors, runs.RUN_SCHEMA), f"{space}/anchors", shards, ["min", "max"], keep=lambda k, lo, hi: (lo != hi, []), width=0)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = runs.RunMaker(shards, ["min", "max", "min"])
+        out = runs.RunMaker(shards, how)
         for _, _, _, ids, words, h, starts, anchor in _scan(batches, window):
             if len(starts):
                 at = starts[_known(shared, anchor, [])[0]]
                 key, check = _window_keys(h, at, window)
-                own = ids[words.doc_of()[at]]
-                yield from out.add(key, own, own, check)
+                doc = words.doc_of()[at]
+                yield from out.add(key, ids[doc], ids[doc], check, at - words.first[doc])
         yield from out.flush()
 
-    index, _ = runs.build(texts.mapInArrow(windows, runs.RUN_SCHEMA), f"{space}/windows", shards, ["min", "max", "min"], keep=lambda k, lo, hi, c: (lo != hi, [lo, c]), width=2)
+    how = ["min", "max", "min", "with"]
+    index, _ = runs.build(texts.mapInArrow(windows, runs.RUN_SCHEMA), f"{space}/windows", shards, how, keep=lambda k, lo, hi, c, p: (lo != hi, [lo, c, p]), width=3)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, ids, words, h, starts, anchor in _scan(batches, window):
             n = len(h)
-            held, sure = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
             doc_of = words.doc_of()
+            at, source, place = (np.zeros(0, np.int64) for _ in range(3))
             if len(starts):
-                at = starts[_known(shared, anchor, [])[0]]
-                key, check = _window_keys(h, at, window)
-                found, (first, confirm) = _known(index, key, [0, 1])
-                hit = found & (first < ids[doc_of[at]])
-                held[at[hit]] = True
-                sure[at[hit]] = check[hit] == confirm[hit]
-            head = np.ones(n + 1, bool)
-            head[1:n] = doc_of[1:] != doc_of[:-1]
-            while True:
-                begin = np.flatnonzero(held & (np.concatenate(([True], ~held[:-1])) | head))
-                end = np.flatnonzero(held & (np.concatenate((~held[1:], [True])) | np.concatenate((head[1:], [True]))))
-                wrong = np.concatenate((begin[~sure[begin]], end[~sure[end]]))
-                if not len(wrong):
-                    break
-                held[wrong] = False
-            end = end + window
+                some = starts[_known(shared, anchor, [])[0]]
+                key, check = _window_keys(h, some, window)
+                found, (first, confirm, position) = _known(index, key, [0, 1, 2])
+                hit = found & (first < ids[doc_of[some]]) & (check == confirm)
+                at, source, place = some[hit], first[hit], position[hit]
+            own = doc_of[at]
+            # a factor grows while the next window copies the next position of the same source
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1]) | (source[1:] != source[:-1]) | (place[1:] != place[:-1] + 1)
+            lead = np.flatnonzero(new)
+            begin, own = at[lead], own[lead]
+            end = at[np.append(lead[1:], len(at)) - 1] + window if len(at) else begin
             edge = np.zeros(n + 1, np.int32)
             np.add.at(edge, begin, 1)
             np.add.at(edge, end, -1)
             gone = np.cumsum(edge[:-1]) > 0
-            own = doc_of[begin]
-            factors = np.column_stack([begin - words.first[own], end - words.first[own]]).ravel().astype(np.int32)
+            fields = [pa.array(begin - words.first[own], pa.int32()), pa.array(end - words.first[own], pa.int32()), pa.array(source[lead]), pa.array(place[lead], pa.int32())]
+            factors = pa.StructArray.from_arrays(fields, ["begin", "end", "source", "at"])
             total = np.concatenate(([0], np.cumsum(gone)))
             yield pa.record_batch(
-                [batch.column("doc_id").slice(a, b - a), pa.array(words.counts, pa.int64()), pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64()), lists(factors, np.bincount(own, minlength=b - a) * 2, pa.int32()), keep_words(words, ~gone)],
+                [batch.column("doc_id").slice(a, b - a), pa.array(words.counts, pa.int64()), pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64()), lists(factors, np.bincount(own, minlength=b - a)), keep_words(words, ~gone)],
                 names=["doc_id", "n_words", "n_removed", "factors", "kept"],
             )
 
-    return texts.mapInArrow(parse, "doc_id bigint, n_words bigint, n_removed bigint, factors array<int>, kept string")
+    return texts.mapInArrow(parse, "doc_id bigint, n_words bigint, n_removed bigint, factors array<struct<begin:int,end:int,source:bigint,at:int>>, kept string")
 
 
 def digest_columns(parsed: DataFrame) -> DataFrame:

@@ -147,8 +147,8 @@ def binaries(chunks: list[bytes]) -> pa.Array:
     return pa.array(chunks, pa.binary())
 
 
-def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+def lists(values: np.ndarray | pa.Array, counts: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
     """A list column: counts[i] of the values go to row i."""
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+    return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values, kind))

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm import near_dedup, quality
+from docweave.llm import near_dedup, quality, runs
 from docweave.llm.bpe import Codec, decode, encode
 from docweave.llm.decontaminate import benchmark_hits
 from docweave.llm.exact_dedup import exact_groups
@@ -19,6 +19,7 @@ from docweave.llm.lines import drop_repeated_chunks
 from docweave.llm.near_dedup import near_duplicates
 from docweave.llm.quality import score_quality
 from docweave.llm.substrings import repeated_passages
+from docweave.llm.textkernel import mix
 from docweave.llm.toxicity import score_toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, score int, kept string, n_words int, path string, rep int"
@@ -87,6 +88,52 @@ def test_passages_keep_the_first(odd):
     assert got[4].n_removed == 0 and got[5].n_removed == 30_000 and got[5].kept == ""
 
 
+def test_every_factor_copies_its_source(spark):
+    """A factor's words stand at the named place of an earlier document; each repeated passage is one or more factors."""
+    rnd = random.Random(11)
+    passages = [rnd.choices(WORDS, k=20 + p) for p in range(12)]
+    texts = {}
+    for i in range(60):
+        texts[i] = [w for _ in range(4) for w in (*(f"o{rnd.randrange(10**6)}" for _ in range(5)), *passages[rnd.randrange(12)][rnd.randrange(4) :])]
+    out = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id bigint, text string").repartition(5))
+    seen, n = {}, 0
+    for r in sorted(out.collect(), key=lambda r: r.doc_id):
+        own = texts[r.doc_id]
+        windows = {k: tuple(own[k : k + 13]) for k in range(len(own) - 12)}
+        want = {k + j for k, w in windows.items() if w in seen for j in range(13)}
+        for f in r.factors:
+            n += 1
+            assert f.source < r.doc_id and f.end - f.begin >= 13 and own[f.begin : f.end] == texts[f.source][f.at : f.at + f.end - f.begin]
+        assert {k for f in r.factors for k in range(f.begin, f.end)} == want and r.n_removed == len(want)
+        for w in windows.values():
+            seen.setdefault(w, r.doc_id)
+    assert n > 100
+
+
+def test_runs_are_merged_in_two_levels(spark, tmp_path):
+    """More shards than runs a map task may make give the same table."""
+    rng = np.random.default_rng(1)
+    keys = mix(rng.integers(0, 3000, 20_000).astype(np.uint64))
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys.view(np.int64).tolist())], "k bigint, v bigint").repartition(7)
+    shards, how = 64, ["sum", "min", "max", "with"]
+
+    def make(batches):
+        out = runs.RunMaker(shards, how, spread=8)
+        for b in batches:
+            v = b.column("v").to_numpy()
+            yield from out.add(b.column("k").to_numpy().view(np.uint64), np.ones(len(v), np.int64), v, v, v + 5)
+        yield from out.flush()
+
+    # the second column but one is the least value, and the last that beside the least of the first
+    store, (n,) = runs.build(rows.mapInArrow(make, runs.RUN_SCHEMA), f"file://{tmp_path}/t", shards, how, summary=lambda k, c, *_: [c.sum()], n_sums=1, spread=8)
+    found, (count, low, high, _) = store.lookup(np.append(keys, np.uint64(5)))
+    assert n == len(keys) and found[:-1].all() and not found[-1] and store.size == len(np.unique(keys))
+    want = {}
+    for i, k in enumerate(keys.tolist()):
+        want.setdefault(k, []).append(i)
+    assert [(c, a, b) for c, a, b in zip(count, low, high)][:-1] == [(len(want[k]), want[k][0], want[k][-1]) for k in keys.tolist()]
+
+
 def brute_components(texts, percent, shingle=2):
     sets = {}
     for i, t in texts.items():
