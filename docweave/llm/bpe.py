@@ -19,7 +19,7 @@ from .textkernel import groups, lists, text_array
 #: The word splitting of byte-level BPE, as its published description has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PIECES = regex.compile(PATTERN)
-#: Fragments up to so many bytes are remembered, and how many of them; then a worker starts to remember anew.
+#: Fragments up to so many bytes are remembered and merged by plain lists, and how many are remembered before a worker starts anew.
 SHORT, REMEMBERED = 48, 1 << 18
 #: Bytes of ids that a worker has in hand at once while it decodes.
 GROUP = 1 << 20
@@ -72,10 +72,13 @@ class Codec:
         for t, i in special.items():
             self.token[i] = t.encode()
         self.single = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        # the rank of each pair that merges, and what the merge of each rank makes
+        self.rank: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.rank.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.rank.setdefault((vocab[a], vocab[b]), rank)
+            self.made.append(vocab[a + b])
         self.inside = np.zeros((256, 256), bool)
         for t in vocab:
             b = np.frombuffer(raw(t), np.uint8)
@@ -111,29 +114,50 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Merge the lowest-ranked neighbours of a piece, leftmost first, until none is left."""
+        if len(piece) > SHORT:
+            return self.merge_long(piece)
+        single, made, rank, never = self.single, self.made, self.rank.get, len(self.made)
+        ids = [single[b] for b in piece]
+        ranks = [rank(pair, never) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks and (least := min(ranks)) < never:
+            i = ranks.index(least)
+            ids[i] = made[least]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), never)
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), never)
+        return ids
+
+    def merge_long(self, piece: bytes) -> list[int]:
+        """The same with a heap, in a time that is not quadratic in the piece's length."""
         ids = [self.single[b] for b in piece]
-        n, rank = len(ids), self.rank
+        n, rank, made = len(ids), self.rank, self.made
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            least, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = made, -1
+            ids[i], ids[j] = made[least], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if r := rank.get((made, ids[k])):
-                    heapq.heappush(heap, (r[0], i, made, ids[k], r[1]))
-            if (h := before[i]) >= 0 and (r := rank.get((ids[h], made))):
-                heapq.heappush(heap, (r[0], h, ids[h], made, r[1]))
+                if (r := rank.get((ids[i], ids[k]))) is not None:
+                    heapq.heappush(heap, (r, i, ids[i], ids[k]))
+            if (h := before[i]) >= 0 and (r := rank.get((ids[h], ids[i]))) is not None:
+                heapq.heappush(heap, (r, h, ids[h], ids[i]))
         return [x for x in ids if x >= 0]
 
     def fragment(self, raw: bytes) -> tuple[int, ...]:
         """The ids of one fragment."""
-        ids = tuple(i for piece in PIECES.findall(raw.decode()) for i in self.merge(piece.encode()))
+        if raw.isalpha() or (raw[:1] == b" " and raw[1:].isalpha()):
+            # ASCII letters after at most one space are one piece
+            ids = tuple(self.merge(raw))
+        else:
+            ids = tuple(i for piece in PIECES.findall(raw.decode()) for i in self.merge(piece.encode()))
         if len(raw) <= SHORT:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
