@@ -66,6 +66,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both >> BITS, (both & ((1 << BITS) - 1)).astype(np.int32)
 
 
+def entries(bucket: np.ndarray, first: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The buckets of some documents, one document after another."""
+    size = counts[rows]
+    at = np.repeat((first[rows] - (np.cumsum(size) - size)).astype(np.int32), size)
+    at += np.arange(len(at), dtype=np.int32)
+    return bucket[at]
+
+
 class Machine:
     """score = bias + sum of w_i x_i + sum over pairs of <v_i, v_j> x_i x_j, over the buckets of a text.
 
@@ -95,31 +103,32 @@ class Machine:
     def raw(self, bucket: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return self._forward(bucket, counts)[0].astype(np.float64)
 
-    def fit(self, bucket: np.ndarray, counts: np.ndarray, y: np.ndarray, seed: int = 5) -> None:
-        """Minimise the logistic loss with AdaGrad over blocks of documents."""
-        n, random = len(y), np.random.default_rng(seed)
-        first, doc = np.cumsum(counts) - counts, np.repeat(np.arange(n), counts)
-        share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+    def fit(self, bucket: np.ndarray, counts: np.ndarray, y: np.ndarray, rows: np.ndarray, seed: int = 5) -> None:
+        """Minimise the logistic loss over ``rows`` of the documents with AdaGrad, a block of them at a time."""
+        first, random = np.cumsum(counts) - counts, np.random.default_rng(seed)
+        share = min(max(float(y[rows].mean()), 1e-3), 1 - 1e-3)
         self.bias = float(np.log(share / (1 - share)))
-        held = np.bincount(bucket, minlength=1 << BITS)
+        blocks = [np.sort(b) for b in np.array_split(random.permutation(rows), min(BLOCKS, len(rows)))]
+        held, bad = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for b in blocks:
+            held += np.bincount(entries(bucket, first, counts, b), minlength=1 << BITS)
+            bad += np.bincount(entries(bucket, first, counts, b[y[b] > 0]), minlength=1 << BITS)
         expected = held * share
         # with a continuity correction, as most buckets are held by few documents
-        off = np.maximum(np.abs(np.bincount(bucket, weights=y[doc], minlength=1 << BITS) - expected) - 0.5, 0)
+        off = np.maximum(np.abs(bad - expected) - 0.5, 0)
         self.value = np.clip(off**2 / np.maximum(expected * (1 - share), 1e-9) / FULL_CHI, FLOOR, 1).astype(np.float32)
         gw, gv = np.full(self.w.shape, 1e-6, np.float32), np.full(self.v.shape, 1e-6, np.float32)
-        blocks = np.array_split(random.permutation(n), min(BLOCKS, n))
         for _ in range(EPOCHS):
             for i in random.permutation(len(blocks)):
-                rows = np.sort(blocks[i])
-                size = counts[rows]
-                f = bucket[np.repeat(first[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                rows, size = blocks[i], counts[blocks[i]]
+                f = entries(bucket, first, counts, rows)
                 raw, sums, own = self._forward(f, size)
                 err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[rows]).astype(np.float32)
                 self.bias -= RATE * float(err.mean())
                 if not len(f):
                     continue
                 # gradients are summed over the entries of each bucket
-                of = np.repeat(np.arange(len(rows)), size)
+                of = np.repeat(np.arange(len(rows), dtype=np.int32), size)
                 step = err[of] * self.value[f]
                 order = np.argsort(f, kind="stable")
                 begin = np.flatnonzero(np.diff(f[order], prepend=-1))
@@ -159,22 +168,17 @@ def fit(texts: DataFrame, labels: DataFrame, label: str = "toxic", at_most: int
         return model
     ids, y = (np.array([x for r in parts for x in r[c]]) for c in ("ids", "y"))
     counts, buckets = [], []
-    for r in parts:
+    while parts:
+        r = parts.pop(0)
         keys = runs.unpack(r["run"])[0].astype(np.int64)
         counts.append(np.bincount(keys >> BITS, minlength=len(r["ids"])))
         buckets.append((keys & ((1 << BITS) - 1)).astype(np.int32))
-    counts, buckets, parts = np.concatenate(counts), np.concatenate(buckets), None
-    first, order, y = np.cumsum(counts) - counts, np.argsort(ids), (y > 0).astype(float)
-
-    def flat(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = counts[rows]
-        return buckets[np.repeat(first[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
-
+    counts, buckets, y, order = np.concatenate(counts), np.concatenate(buckets), (y > 0).astype(float), np.argsort(ids)
     last = np.arange(len(order)) % 5 == 0
-    fit_rows, check_rows = order[~last], order[last]
-    if len(fit_rows):
-        model.fit(*flat(fit_rows), y[fit_rows])
-    model.x, model.p = isotonic(model.raw(*flat(check_rows)), y[check_rows])
+    if not last.all():
+        model.fit(buckets, counts, y, order[~last])
+    check = order[last]
+    model.x, model.p = isotonic(model.raw(entries(buckets, np.cumsum(counts) - counts, counts, check), counts[check]), y[check])
     return model
 
 
