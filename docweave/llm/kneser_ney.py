@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 from . import runs
 from .shared import id_and_text, shards_for, workspace
-from .textkernel import LOWER, U, groups, mix, split, text_array, word_hashes
+from .textkernel import LOWER, U, groups, mix, split, text_array, unmix, word_hashes
 
-HALF = U(32)
-START, END = (mix(np.array([x], np.uint64))[0] for x in (0x5354415254, 0x454E44))
+#: Numbers of the beginning of a text and of words that weren't learnt from; words have those between.
+FIRST, STRANGE = 0, (1 << 32) - 1
+HALF, LOW = U(32), U(0xFFFFFFFF)
+END = mix(np.array([0x454E44], np.uint64))[0]
 
 
-def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of each document's words and its end, the hash before each, and tokens a document."""
+def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each document's words and its end, and tokens a document."""
     words = split(LOWER[data], offsets)
     h, counts = word_hashes(words), words.counts + 1
     ends = np.cumsum(counts) - 1
@@ -26,14 +28,26 @@ def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     is_end = np.zeros(len(tokens), bool)
     is_end[ends] = True
     tokens[is_end], tokens[~is_end] = END, h
-    before = np.concatenate(([START], tokens[:-1]))
-    before[ends[:-1] + 1] = START
-    return tokens, before, counts
+    return tokens, counts
 
 
-def pair_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Context in the upper half, word in the lower, so a context's bigrams are neighbours in one shard."""
-    return (before & ~U(0xFFFFFFFF)) | (tokens >> HALF)
+def numbered(unigrams: runs.Store, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Count and number of each token. A number is the word's place in the sorted table; no two words share
+    one unless there are more than 2**32 - 2."""
+    flat, where = np.unique(tokens, return_inverse=True)
+    found, (count, place) = unigrams.lookup(flat, [0, -1])
+    return count[where], np.where(found, place % (STRANGE - 1) + 1, STRANGE).astype(np.uint64)[where]
+
+
+def pair_keys(number: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number before each token, and an exact key of the two: scattered, so no context is one shard's."""
+    before = np.concatenate(([U(FIRST)], number[:-1]))
+    before[np.cumsum(counts) - counts] = FIRST
+    return before, mix(before << HALF | number)
+
+
+def word_keys(number: np.ndarray) -> np.ndarray:
+    return mix(number + U(1))
 
 
 def discounts(n: list[float]) -> np.ndarray:
@@ -70,16 +84,17 @@ class Model:
         found, columns = store.lookup(flat)
         return found[where], [c[where] for c in columns]
 
-    def score(self, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: its count, log10 of the add-one unigram, log10 of the bigram probability."""
-        _, (c,) = self._look(self.unigrams, tokens)
+        c, number = numbered(self.unigrams, tokens)
+        before, pairs = pair_keys(number, counts)
         base = np.log10((c + 1) / (self.tokens + self.vocabulary + 1))
-        _, (follows,) = self._look(self.continued, tokens & ~U(0xFFFFFFFF))
+        _, (follows,) = self._look(self.continued, word_keys(number))
         low = np.full(len(tokens), self.gamma / (self.vocabulary + 1))
         if self.types:
             low += np.maximum(follows - self.d_cont[np.minimum(follows, 3)], 0) / self.types
-        _, (pair,) = self._look(self.bigrams, pair_keys(before, tokens))
-        known, (total, one, two, more) = self._look(self.contexts, before & ~U(0xFFFFFFFF))
+        _, (pair,) = self._look(self.bigrams, pairs)
+        known, (total, one, two, more) = self._look(self.contexts, word_keys(before))
         safe = np.maximum(total, 1)
         gamma = np.where(known, (self.d_bi[1] * one + self.d_bi[2] * two + self.d_bi[3] * more) / safe, 1.0)
         p = np.where(known, np.maximum(pair - self.d_bi[np.minimum(pair, 3)], 0) / safe, 0) + gamma * low
@@ -91,7 +106,8 @@ def fit(texts: DataFrame) -> Model:
 
     Every token of every text is counted. Map tasks reduce what they read to packed
     sorted runs; reducers merge each shard into sorted hash arrays. Words have 64-bit
-    hashes in unigrams and their leading 32 bits in each half of a bigram's key.
+    hashes; in a bigram each is the 32-bit number of its place among these, and
+    the key is a bijective mix of both, so different bigrams never share one.
     Only counts of counts come to the driver.
     """
     spark = texts.sparkSession
@@ -101,7 +117,7 @@ def fit(texts: DataFrame) -> Model:
         out = runs.RunMaker(shards, ["sum"])
         for batch in batches:
             for _, _, data, offsets in groups(text_array(batch.column("text"))):
-                tokens, _, _ = token_stream(data, offsets)
+                tokens, _ = token_stream(data, offsets)
                 yield from out.add(tokens, np.ones(len(tokens), np.int64))
         yield from out.flush()
 
@@ -109,8 +125,8 @@ def fit(texts: DataFrame) -> Model:
         out = runs.RunMaker(shards, ["sum"])
         for batch in batches:
             for _, _, data, offsets in groups(text_array(batch.column("text"))):
-                tokens, before, _ = token_stream(data, offsets)
-                yield from out.add(pair_keys(before, tokens), np.ones(len(tokens), np.int64))
+                tokens, counts = token_stream(data, offsets)
+                yield from out.add(pair_keys(numbered(uni, tokens)[1], counts)[1], np.ones(len(tokens), np.int64))
         yield from out.flush()
 
     text = texts.select("text")
@@ -123,16 +139,16 @@ def fit(texts: DataFrame) -> Model:
         out = runs.RunMaker(shards, ["sum"] * 4)
         for batch in batches:
             for s in batch.column("shard").to_pylist():
-                head, c = np.asarray(bi.column(s, 0)) & ~U(0xFFFFFFFF), np.asarray(bi.column(s, 1)).astype(np.int64)
-                yield from out.add(head, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))
+                head, c = unmix(np.asarray(bi.column(s, 0))) >> HALF, np.asarray(bi.column(s, 1)).astype(np.int64)
+                yield from out.add(word_keys(head), c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))
         yield from out.flush()
 
     def continued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = runs.RunMaker(shards, ["sum"])
         for batch in batches:
             for s in batch.column("shard").to_pylist():
-                tail = np.asarray(bi.column(s, 0)) << HALF
-                yield from out.add(tail, np.ones(len(tail), np.int64))
+                tail = unmix(np.asarray(bi.column(s, 0))) & LOW
+                yield from out.add(word_keys(tail), np.ones(len(tail), np.int64))
         yield from out.flush()
 
     ctx, _ = runs.build(each.mapInArrow(contexts, runs.RUN_SCHEMA), f"{space}/contexts", shards, ["sum"] * 4)
@@ -156,8 +172,8 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in groups(text_array(batch.column("text"))):
-                tokens, before, counts = token_stream(data, offsets)
-                c, base, score = model.score(tokens, before)
+                tokens, counts = token_stream(data, offsets)
+                c, base, score = model.score(tokens, counts)
                 first = np.cumsum(counts) - counts
                 yield pa.record_batch(
                     [batch.column("doc_id").slice(a, b - a), pa.array(counts, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), pa.array(np.full(b - a, model.tokens, np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(score, first))],

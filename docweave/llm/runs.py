@@ -62,7 +62,7 @@ def reduce_sorted(keys: np.ndarray, columns: Sequence[np.ndarray], how: Sequence
     """Sort by key and reduce each column over equal keys; ``with`` takes the least value beside the least of the first column."""
     if not len(keys):
         return keys, list(columns)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     out: list[np.ndarray] = []
@@ -153,14 +153,19 @@ def build(runs: DataFrame, path: str, shards: int, how: Sequence[str], keep: Cal
         runs = runs.select("shard", "run", some).groupBy("shard", "some").applyInArrow(part, RUN_SCHEMA)
     rows = runs.groupBy("shard").applyInArrow(merge, "shard int, n bigint, sums array<double>").collect()
     total = [sum(r["sums"][i] for r in rows) for i in range(n_sums)]
-    return Store(folder, shards, width if width is not None else len(how), frozenset(r["shard"] for r in rows if r["n"]), sum(r["n"] for r in rows)), total
+    return Store(folder, shards, width if width is not None else len(how), {r["shard"]: r["n"] for r in rows if r["n"]}), total
 
 
 class Store:
     """Sorted arrays in the shared folder. Pickled, it is a path and the shard numbers."""
 
-    def __init__(self, folder: str, shards: int, width: int, full: frozenset, size: int):
-        self.folder, self.shards, self.width, self.full, self.size = folder, shards, width, full, size
+    def __init__(self, folder: str, shards: int, width: int, sizes: dict[int, int]):
+        self.folder, self.shards, self.width, self.full, self.size = folder, shards, width, frozenset(sizes), sum(sizes.values())
+        # how many entries stand in the shards before
+        self.before, n = {}, 0
+        for shard in sorted(sizes):
+            self.before[shard] = n
+            n += sizes[shard]
         self.maps: dict[tuple[int, int], np.ndarray] = {}
 
     def __getstate__(self) -> dict:
@@ -172,7 +177,10 @@ class Store:
         return self.maps[shard, i]
 
     def lookup(self, keys: np.ndarray, columns: Sequence[int] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Whether each key is stored, and its columns (0 where it isn't). Sorted keys are read fastest."""
+        """Whether each key is stored, and its columns (0 where it isn't); column -1 is its place among all keys.
+
+        Sorted keys are read fastest.
+        """
         columns = range(self.width) if columns is None else columns
         order = None
         if len(keys) > 1 and not bool((keys[1:] >= keys[:-1]).all()):
@@ -190,7 +198,7 @@ class Store:
                 hit = have[at] == keys[a:b]
                 found[a:b] = hit
                 for o, c in zip(out, columns, strict=True):
-                    o[a:b][hit] = self.column(s, c + 1)[at[hit]]
+                    o[a:b][hit] = self.column(s, c + 1)[at[hit]] if c >= 0 else at[hit] + self.before[s]
         if order is None:
             return found, out
         back = np.empty(len(order), np.int64)

@@ -36,6 +36,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """What ``mix`` makes ``x`` of."""
+    for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9), (30, 1)):
+        # the shifted parts are undone from the leading bits on
+        x = x ^ (x >> U(shift)) ^ (x >> U(2 * shift) if 2 * shift < 64 else U(0))
+        x = x * U(pow(factor, -1, 1 << 64))
+    return x
+
+
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 BASE = 0x2545F4914F6CDD1D
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
