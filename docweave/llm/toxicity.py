@@ -19,8 +19,9 @@ TRAIN_DOCS, TRAIN_BYTES = 30_000, 256 << 20
 #: Terms are hashed into two to the power of so many buckets; each is a feature.
 BITS = 18
 FACTORS, EPOCHS, BLOCKS, RATE, L2 = 4, 8, 32, 0.05, 1e-5
-#: A bucket's value in a text is its chi-square with the label over the first, at least the second and at most 1.
-FULL_CHI, FLOOR = 24.0, 0.05
+#: A bucket's value in a text is its chi-square with the label over the first, at most 1; at least the second, and
+#: more for a bucket that many documents hold: its share of the documents times the third, so that it can interact.
+FULL_CHI, FLOOR, OFTEN = 24.0, 0.05, 5.0
 #: Bytes of the beginnings of longer words that are terms too.
 PREFIXES = (4, 5)
 #: A term that occurs twice or more and makes up such a share of the words is a further feature for each share.
@@ -78,7 +79,7 @@ class Machine:
     """score = bias + sum of w_i x_i + sum over pairs of <v_i, v_j> x_i x_j, over the buckets of a text.
 
     Every bucket takes part, so that terms which are neutral alone can interact;
-    one that does not go with the label by itself has a small value x.
+    a rare one that does not go with the label by itself has a small value x.
     """
 
     def __init__(self, seed: int = 3):
@@ -116,7 +117,8 @@ class Machine:
         expected = held * share
         # with a continuity correction, as most buckets are held by few documents
         off = np.maximum(np.abs(bad - expected) - 0.5, 0)
-        self.value = np.clip(off**2 / np.maximum(expected * (1 - share), 1e-9) / FULL_CHI, FLOOR, 1).astype(np.float32)
+        least = np.clip(OFTEN * held / len(rows), FLOOR, 1)
+        self.value = np.clip(off**2 / np.maximum(expected * (1 - share), 1e-9) / FULL_CHI, least, 1).astype(np.float32)
         gw, gv = np.full(self.w.shape, 1e-6, np.float32), np.full(self.v.shape, 1e-6, np.float32)
         for _ in range(EPOCHS):
             for i in random.permutation(len(blocks)):
