@@ -22,14 +22,19 @@ def find(start: Path) -> Path:
     raise FileNotFoundError(f"No *{NAME} in {', '.join(tried)}")
 
 
+def module_text(content: dict) -> str:
+    """A module with the definitions as data."""
+    if not isinstance(content.get("indexes"), list):
+        raise ValueError("The definitions have no list of indexes")
+    return f'"""Index definitions, for Indexes.load."""\n\nINDEXES = {pprint.pformat(content, width=100, sort_dicts=False)}\n'
+
+
 def generate(source: Path, output: Path) -> Path:
     """Write a module with the definitions as data, and return its path."""
-    content = json.loads(source.read_text(encoding="utf-8"))
-    if not isinstance(content.get("indexes"), list):
-        raise ValueError(f"{source} has no list of indexes")
+    text = module_text(json.loads(source.read_text(encoding="utf-8")))
     output.mkdir(parents=True, exist_ok=True)
     target = output / "index_definitions.py"
-    target.write_text(f'"""Index definitions, for Indexes.load."""\n\nINDEXES = {pprint.pformat(content, width=100, sort_dicts=False)}\n', encoding="utf-8")
+    target.write_text(text, encoding="utf-8")
     return target
 
 

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import model as m
+from .cli import module_text
 from .functions import add, apply, concatenate, divide, lowercase, multiply, subtract, uppercase
 from .model import Projection, and_, array_contains, array_contains_any, collection_group, compare, constant, eq, field, gt, gte, in_list, like, lt, lte, ne, not_, not_in_list, or_, param, projection
 from .operators import band_join, count_rows, union_all, union_by_path, union_distinct
 from .session import Session
-from .sources import PATH, Catalog
+from .sources import PATH, Catalog, Indexes
 from .streaming import windowed_count
 
 IDS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id"}
@@ -96,7 +97,9 @@ _add(
     projection("filter_or_not", {"l": "lineitem"}, pick("l.l_orderkey", "l.l_linenumber", "l.l_quantity"), not_(or_([eq(f("l.l_returnflag"), "R"), lt(f("l.l_quantity"), 20)]))),
 )
 _add("filter_in", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')", projection("filter_in", {"o": "orders"}, pick("o.o_orderkey"), in_list(f("o.o_orderpriority"), ["1-URGENT", "2-HIGH"])))
-_add("filter_in_long", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0 AND c_custkey BETWEEN 1 AND 120", projection("filter_in_long", {"c": "customer"}, pick("c.c_custkey", "c.c_name"), in_list(f("c.c_custkey"), list(range(3, 121, 3)))))
+#: A list longer than what a document store takes at once.
+_SIZES = [*range(1, 12), *range(15, 30), *range(33, 48)]
+_add("filter_in_long", f"SELECT p_partkey, p_name FROM part WHERE p_size IN ({', '.join(map(str, _SIZES))})", projection("filter_in_long", {"p": "part"}, pick("p.p_partkey", "p.p_name"), in_list(f("p.p_size"), _SIZES)))
 _add("filter_not_in", "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')", projection("filter_not_in", {"o": "orders"}, pick("o.o_orderkey"), not_in_list(f("o.o_orderpriority"), ["1-URGENT", "2-HIGH"])))
 _GAPPY = "(SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment, c_acctbal FROM customer)"
 _add("filter_null", f"SELECT c_custkey FROM {_GAPPY} WHERE segment IS NULL", projection("filter_null", {"g": "gappy"}, pick("g.c_custkey"), eq(f("g.segment"), None)))
@@ -233,3 +236,61 @@ def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = session(spark, sf_dir).prepare(projection("prepared", {"o": "orders"}, pick("o.o_orderkey"), gt(f("o.o_totalprice"), param("least"))))
     return union_all(*(plan.bind({"least": least}).withColumn("run", F.lit(i)) for i, least in ((1, 400000), (2, 450000))))
+
+
+_TOP = "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 12"
+
+
+@_own("order_hint", f"SELECT hint, c_custkey, c_acctbal FROM ({_TOP}), (VALUES ('db-side'), ('post-fetch-sort'), ('auto')) AS h(hint)")
+def _order_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = session(spark, sf_dir)
+    make = lambda hint: projection("order_hint", {"c": "customer"}, pick("c.c_custkey", "c.c_acctbal"), gt(f("c.c_acctbal"), 0), [(f("c.c_acctbal"), "desc"), f("c.c_custkey")], 12, hints={"order_by": hint})
+    return union_all(*(own.run(make(hint)).withColumn("hint", F.lit(hint)) for hint in ("db-side", "post-fetch-sort", "auto")))
+
+
+@_own("session_catalog", "SELECT 'own' AS session, n_nationkey FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'other', n_nationkey FROM nation")
+def _session_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table registered anew holds for its own session only."""
+    own, other = session(spark, sf_dir), session(spark, sf_dir)
+    own.catalog.register("nation", spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_regionkey = 1"), "n_nationkey")
+    query = projection("session_catalog", {"n": "nation"}, pick("n.n_nationkey"))
+    return union_all(*(s.run(query).select(F.lit(name).alias("session"), "n_nationkey") for name, s in (("own", own), ("other", other))))
+
+
+INDEXES = {
+    "indexes": [
+        {"collectionGroup": "orders", "queryScope": "COLLECTION", "fields": [{"fieldPath": "o_orderstatus", "order": "ASCENDING"}, {"fieldPath": "o_totalprice", "order": "DESCENDING"}]},
+        {"collectionGroup": "orders", "queryScope": "COLLECTION", "fields": [{"fieldPath": "o_custkey", "order": "ASCENDING"}]},
+        {"collectionGroup": "tagged", "queryScope": "COLLECTION", "fields": [{"fieldPath": "tags", "arrayConfig": "CONTAINS"}]},
+    ]
+}
+
+
+@_own(
+    "index_match",
+    """SELECT * FROM (VALUES ('status', 'exact', 1, 1), ('status and price', 'exact', 2, 1), ('status by price', 'exact', 2, 1), ('customer', 'exact', 1, 1), ('price', 'none', 0, 1000), ('tag', 'exact', 1, 1)) AS t("query", type, matched, cost)""",
+)
+def _index_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How scans match declared indexes, and what the planner takes them to cost."""
+    own = session(spark, sf_dir)
+    own.indexes.load(INDEXES)
+    asked = {
+        "status": ("orders", [("o_orderstatus", "==")], None),
+        "status and price": ("orders", [("o_orderstatus", "=="), ("o_totalprice", ">")], None),
+        "status by price": ("orders", [("o_orderstatus", "==")], ("o_totalprice", "desc")),
+        "customer": ("orders", [("o_custkey", "==")], None),
+        "price": ("orders", [("o_totalprice", ">")], None),
+        "tag": ("tagged", [("tags", "array-contains")], None),
+    }
+    found = {name: own.indexes.match(*of) for name, of in asked.items()}
+    return spark.createDataFrame([(name, x.type, x.matched, own.indexes.cost(x)) for name, x in found.items()], "query string, type string, matched int, cost int")
+
+
+@_own("generated_indexes", "SELECT * FROM (VALUES ('orders', 'o_orderstatus', 'ASCENDING'), ('orders', 'o_totalprice', 'DESCENDING'), ('orders', 'o_custkey', 'ASCENDING'), ('tagged', 'tags', 'ARRAY_CONTAINS')) AS t(collection, field, mode)")
+def _generated_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The definitions that the command line's generated module gives back."""
+    scope: dict[str, Any] = {}
+    exec(module_text(INDEXES), scope)  # noqa: S102
+    indexes = Indexes()
+    indexes.load(scope["INDEXES"])
+    return spark.createDataFrame([(i.collection, name, mode) for i in indexes.definitions for name, mode in i.fields], "collection string, field string, mode string")
