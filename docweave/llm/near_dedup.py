@@ -18,8 +18,8 @@ from .textkernel import LOWER, U, groups, mix, split, text_array, window_hashes,
 WIDTH = 64
 #: Independent trees; branches of a node; minwise tokens that a branch selects; levels.
 TREES, BRANCHES, TOKENS, LEVELS = 3, 4, 2, 3
-#: Nodes up to this size are compared exhaustively.
-SMALL = 24
+#: Nodes up to this size are compared exhaustively, at most so many cells of their matrices at once.
+SMALL, CELLS = 128, 1 << 18
 #: Documents of a cluster that are verified together.
 BLOCK = 128
 
@@ -58,6 +58,27 @@ def _fixed(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(len(column), WIDTH) if len(column) else np.zeros((0, WIDTH), np.uint8)
 
 
+def _agreements(sig: np.ndarray) -> np.ndarray:
+    """Of each node (nodes x members x WIDTH), how many values each two members have in common."""
+    out = np.zeros((sig.shape[0], sig.shape[1], sig.shape[1]), np.uint8)
+    for i in range(WIDTH):
+        value = sig[:, :, i]
+        out += value[:, :, None] == value[:, None, :]
+    return out
+
+
+def _least_connected(met: np.ndarray) -> np.ndarray:
+    """The first member that each member of a node is connected with, over any number of steps."""
+    n = met.shape[1]
+    low = np.broadcast_to(np.arange(n, dtype=np.int16), met.shape[:2])
+    while True:
+        new = np.where(met, low[:, None, :], np.int16(n)).min(axis=2, initial=n).astype(np.int16)
+        new = np.minimum(new, low)
+        if (new == low).all():
+            return low
+        low = new
+
+
 def _children(path: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
     """The nodes below, one array per branch: each node picks its own minwise tokens."""
     row = np.arange(len(path))
@@ -166,14 +187,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             flat = members.values
             ids, sig = flat.field("rep").to_numpy(), _fixed(flat.field("sig"))
             for s in np.unique(size):
-                i, j = np.triu_indices(s, 1)
-                each = max(1, 200_000 // max(1, len(i)))
                 of = start[size == s]
-                for at in range(0, len(of), each):
-                    rows = of[at : at + each, None] + np.arange(s)
-                    left, right = rows[:, i].ravel(), rows[:, j].ravel()
-                    same = (sig[left] == sig[right]).sum(axis=1) >= maybe
-                    yield pa.record_batch([pa.array(ids[left[same]]), pa.array(ids[right[same]])], names=["a", "b"])
+                for at in range(0, len(of), max(1, CELLS // (s * s))):
+                    rows = of[at : at + max(1, CELLS // (s * s)), None] + np.arange(s)
+                    # the least member that each is connected with; a link a member says the same as all pairs
+                    low = _least_connected(_agreements(sig[rows]) >= maybe)
+                    node, member = np.nonzero(low != np.arange(s))
+                    yield pa.record_batch([pa.array(ids[rows[node, member]]), pa.array(ids[rows[node, low[node, member]]])], names=["a", "b"])
 
     rows = nodes.mapInArrow(_roots, row_schema)
     for level in range(1, LEVELS + 1):
