@@ -15,9 +15,12 @@ shards / ``SPREAD`` of them.
 
 from __future__ import annotations
 
+import mmap
 import os
 import struct
+import sys
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -156,6 +159,28 @@ def build(runs: DataFrame, path: str, shards: int, how: Sequence[str], keep: Cal
     return Store(folder, shards, width if width is not None else len(how), {r["shard"]: r["n"] for r in rows if r["n"]}), total
 
 
+#: Arrays that a worker has mapped at once, of all its tables; the one used longest ago makes room.
+MAPPED = 600
+_mapped: OrderedDict[tuple[str, int, int], np.ndarray] = OrderedDict()
+
+
+def mapped(folder: str, shard: int, i: int) -> np.ndarray:
+    """An array of a shard, mapped into memory, where possible without keeping a file open."""
+    at = (folder, shard, i)
+    if at in _mapped:
+        _mapped.move_to_end(at)
+        return _mapped[at]
+    with open(f"{folder}/{shard}.{i}.npy", "rb") as f:
+        np.lib.format.read_magic(f)
+        (n,), _, dtype = np.lib.format.read_array_header_1_0(f)
+        begin, keep = f.tell(), {"trackfd": False} if sys.version_info >= (3, 13) else {}
+        out = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **keep), dtype, n, begin) if n else np.empty(0, dtype)
+    _mapped[at] = out
+    while len(_mapped) > MAPPED:
+        _mapped.popitem(last=False)
+    return out
+
+
 class Store:
     """Sorted arrays in the shared folder. Pickled, it is a path and the shard numbers."""
 
@@ -166,15 +191,9 @@ class Store:
         for shard in sorted(sizes):
             self.before[shard] = n
             n += sizes[shard]
-        self.maps: dict[tuple[int, int], np.ndarray] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"maps": {}}
 
     def column(self, shard: int, i: int) -> np.ndarray:
-        if (shard, i) not in self.maps:
-            self.maps[shard, i] = np.load(f"{self.folder}/{shard}.{i}.npy", mmap_mode="r")
-        return self.maps[shard, i]
+        return mapped(self.folder, shard, i)
 
     def lookup(self, keys: np.ndarray, columns: Sequence[int] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
         """Whether each key is stored, and its columns (0 where it isn't); column -1 is its place among all keys.
