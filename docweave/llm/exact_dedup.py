@@ -49,8 +49,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         f"{space}/digests",
     )
-    count = RUNS
-    while count * BYTES_A_RUN < input_bytes(docs):
+    count, size = RUNS, input_bytes(id_and_text(docs, id_col, text_col))
+    while count * BYTES_A_RUN < size:
         count *= 2
     best = F.struct((-F.col("chars")).alias("fewer"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     runs = digests.select(*KEY, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(count)).cast("int").alias("run"), best.alias("best"), F.lit(1).cast("long").alias("n"))

@@ -52,15 +52,27 @@ def stored_with(df: DataFrame, path: str, **sums: Column) -> tuple[DataFrame, di
     return stored(df.observe(seen, *(c.alias(k) for k, c in sums.items())), path), seen.get
 
 
+#: Spark states a size of so many bytes or more where it knows none.
+UNKNOWN = 1 << 60
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``: for files their length, without a scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The bytes that ``df`` (doc_id, text) reads: the length of its files, without a scan.
+
+    Sizes of leaves are added up, as estimates above a join or a filter mean little.
+    Where a leaf has no known size, as an RDD has none, the texts are measured.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if max(sizes, default=0) < UNKNOWN:
+        return sum(sizes)
+    return int(df.agg(F.sum(F.octet_length("text").cast("long") + 8)).first()[0] or 0)
 
 
 def shards_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """A power of two that grows with the input, so that a shard's size does not."""
-    n = 64
-    while n < 1 << 16 and n * bytes_each < input_bytes(df):
+    n, size = 64, input_bytes(df)
+    while n < 1 << 16 and n * bytes_each < size:
         n *= 2
     return n
 
