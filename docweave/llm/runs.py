@@ -159,8 +159,11 @@ def build(runs: DataFrame, path: str, shards: int, how: Sequence[str], keep: Cal
     return Store(folder, shards, width if width is not None else len(how), {r["shard"]: r["n"] for r in rows if r["n"]}), total
 
 
-#: Arrays that a worker has mapped at once, of all its tables; the one used longest ago makes room.
-MAPPED = 600
+#: Whether a file can be mapped without staying open.
+UNTRACKED = sys.version_info >= (3, 13)
+#: Arrays that a worker has mapped at once, of all its tables; the one used longest ago makes room. Systems
+#: allow a process about 65,000 maps, but often no more than 1,024 open files.
+MAPPED = 16_384 if UNTRACKED else 600
 _mapped: OrderedDict[tuple[str, int, int], np.ndarray] = OrderedDict()
 
 
@@ -173,7 +176,7 @@ def mapped(folder: str, shard: int, i: int) -> np.ndarray:
     with open(f"{folder}/{shard}.{i}.npy", "rb") as f:
         np.lib.format.read_magic(f)
         (n,), _, dtype = np.lib.format.read_array_header_1_0(f)
-        begin, keep = f.tell(), {"trackfd": False} if sys.version_info >= (3, 13) else {}
+        begin, keep = f.tell(), {"trackfd": False} if UNTRACKED else {}
         out = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **keep), dtype, n, begin) if n else np.empty(0, dtype)
     _mapped[at] = out
     while len(_mapped) > MAPPED:
