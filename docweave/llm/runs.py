@@ -15,6 +15,7 @@ shards / ``SPREAD`` of them.
 
 from __future__ import annotations
 
+import json
 import mmap
 import os
 import struct
@@ -116,14 +117,29 @@ class RunMaker:
             yield from parted(keys, cols, self.bits)
 
 
-def build(runs: DataFrame, path: str, shards: int, how: Sequence[str], keep: Callable | None = None, summary: Callable | None = None, n_sums: int = 0, width: int | None = None, spread: int = SPREAD) -> tuple[Store, list[float]]:
+def _plain(keys: np.ndarray, cols: Sequence[np.ndarray]) -> dict[str, np.ndarray]:
+    return {"0": keys} | {str(i): x if len(x) and x.max() >= 1 << 31 else x.astype(np.int32) for i, x in enumerate(cols, 1)}
+
+
+def write(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """Named arrays in one file, each at a multiple of eight bytes, after a line that lists them."""
+    listed = json.dumps([(name, x.dtype.str, len(x)) for name, x in arrays.items()]).encode()
+    with open(path, "wb") as out:
+        out.write(listed + b" " * (-(len(listed) + 1) % 8) + b"\n")
+        for x in arrays.values():
+            out.write(np.ascontiguousarray(x).view(np.uint8).data)
+            out.write(bytes(-x.nbytes % 8))
+
+
+def build(runs: DataFrame, path: str, shards: int, how: Sequence[str], keep: Callable | None = None, summary: Callable | None = None, n_sums: int = 0, width: int | None = None, spread: int = SPREAD, arrays: Callable | None = None) -> tuple[Store, list[float]]:
     """Merge the runs of each shard and write its sorted arrays below ``path``.
 
     ``keep(keys, *columns)`` gives a mask of the entries to store, or a tuple of
     mask and the ``width`` columns to store; ``summary(keys, *columns)`` gives ``n_sums`` numbers,
     taken over all merged entries, whose sums over all shards are returned. Only
-    those few numbers a shard come to the driver. Files get their final name at
-    the end, so a task that runs again leaves the same table.
+    those few numbers a shard come to the driver. ``arrays(keys, columns)`` names other
+    arrays to write instead. Files get their final name at the end, so a task that
+    runs again leaves the same table.
     """
     folder = mounted(path)
     os.makedirs(folder, exist_ok=True)
@@ -137,13 +153,9 @@ def build(runs: DataFrame, path: str, shards: int, how: Sequence[str], keep: Cal
             mask = keep(keys, *cols)
             mask, cols = mask if isinstance(mask, tuple) else (mask, cols)
             keys, cols = keys[mask], [c[mask] for c in cols]
-        for i, x in enumerate((keys, *cols)):
-            if i and (not len(x) or x.max() < 1 << 31):
-                x = x.astype(np.int32)
-            part = f"{folder}/.{uuid.uuid4().hex}"
-            with open(part, "wb") as out:
-                np.save(out, x)
-            os.replace(part, f"{folder}/{shard}.{i}.npy")
+        part = f"{folder}/.{uuid.uuid4().hex}"
+        write(part, (arrays or _plain)(keys, cols))
+        os.replace(part, f"{folder}/{shard}")
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "sums": pa.array([sums], pa.list_(pa.float64()))})
 
     if shards > spread:
@@ -161,23 +173,25 @@ def build(runs: DataFrame, path: str, shards: int, how: Sequence[str], keep: Cal
 
 #: Whether a file can be mapped without staying open.
 UNTRACKED = sys.version_info >= (3, 13)
-#: Arrays that a worker has mapped at once, of all its tables; the one used longest ago makes room. Systems
+#: Shards that a worker has mapped at once, of all its tables; the one used longest ago makes room. Systems
 #: allow a process about 65,000 maps, but often no more than 1,024 open files.
 MAPPED = 16_384 if UNTRACKED else 600
-_mapped: OrderedDict[tuple[str, int, int], np.ndarray] = OrderedDict()
+_mapped: OrderedDict[tuple[str, int], dict[str, np.ndarray]] = OrderedDict()
 
 
-def mapped(folder: str, shard: int, i: int) -> np.ndarray:
-    """An array of a shard, mapped into memory, where possible without keeping a file open."""
-    at = (folder, shard, i)
+def mapped(folder: str, shard: int) -> dict[str, np.ndarray]:
+    """The arrays of a shard, mapped into memory, where possible without keeping a file open."""
+    at = (folder, shard)
     if at in _mapped:
         _mapped.move_to_end(at)
         return _mapped[at]
-    with open(f"{folder}/{shard}.{i}.npy", "rb") as f:
-        np.lib.format.read_magic(f)
-        (n,), _, dtype = np.lib.format.read_array_header_1_0(f)
-        begin, keep = f.tell(), {"trackfd": False} if UNTRACKED else {}
-        out = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **keep), dtype, n, begin) if n else np.empty(0, dtype)
+    with open(f"{folder}/{shard}", "rb") as f:
+        listed = f.readline()
+        whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if UNTRACKED else {}))
+    out, begin = {}, len(listed)
+    for name, dtype, n in json.loads(listed):
+        out[name] = np.frombuffer(whole, dtype, n, begin) if n else np.empty(0, dtype)
+        begin += -(-out[name].nbytes // 8) * 8
     _mapped[at] = out
     while len(_mapped) > MAPPED:
         _mapped.popitem(last=False)
@@ -196,7 +210,7 @@ class Store:
             n += sizes[shard]
 
     def column(self, shard: int, i: int) -> np.ndarray:
-        return mapped(self.folder, shard, i)
+        return mapped(self.folder, shard)[str(i)]
 
     def lookup(self, keys: np.ndarray, columns: Sequence[int] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
         """Whether each key is stored, and its columns (0 where it isn't); column -1 is its place among all keys.

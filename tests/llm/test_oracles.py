@@ -55,16 +55,16 @@ def test_bpe_equals_the_tokenizers_library(spark, oracle):
 def kneser_ney(train, texts):
     """(n_tokens, n_known, base, score) of each text by dictionaries of strings."""
     split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
-    uni, bi = Counter(), Counter()
+    uni, raw, tri = Counter(), Counter(), Counter()
     for t in train:
         words = split(t)
+        padded = ["<s>", *words]
         uni.update(words)
-        bi.update(zip(["<s>", *words], words))
-    follow, context, kinds = Counter(), Counter(), defaultdict(Counter)
-    for (a, b), c in bi.items():
-        follow[b] += 1
-        context[a] += c
-        kinds[a][min(c, 3)] += 1
+        raw.update(zip(padded, words))
+        tri.update(zip(padded, words, words[1:]))
+    bi = Counter({k: c for k, c in raw.items() if k[0] == "<s>"})
+    bi.update((b, c) for _, b, c in tri)
+    follow, total, v = Counter(b for _, b in raw), sum(uni.values()), len(uni)
 
     def discounts(counts):
         n = [sum(c == i for c in counts) for i in (1, 2, 3, 4)]
@@ -73,16 +73,28 @@ def kneser_ney(train, texts):
         y = n[0] / (n[0] + 2 * n[1])
         return [0, *(min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) for i in (1, 2, 3))]
 
-    d2, d1, total, v = discounts(bi.values()), discounts(follow.values()), sum(uni.values()), len(uni)
-    rest = sum(d1[min(c, 3)] for c in follow.values()) / len(bi)
+    def order(counts):
+        d, sums, kinds = discounts(counts.values()), Counter(), defaultdict(Counter)
+        for k, c in counts.items():
+            sums[k[:-1]] += c
+            kinds[k[:-1]][min(c, 3)] += 1
+
+        def p(gram, lower):
+            if not sums[gram[:-1]]:
+                return lower
+            return (max(counts[gram] - d[min(counts[gram], 3)], 0) + sum(d[k] * n for k, n in kinds[gram[:-1]].items()) * lower) / sums[gram[:-1]]
+
+        return p
+
+    d1, p2, p3 = discounts(follow.values()), order(bi), order(tri)
+    rest = sum(d1[min(c, 3)] for c in follow.values()) / len(raw)
     for t in texts:
         words, base, score = split(t), 0.0, 0.0
-        for a, b in zip(["<s>", *words], words):
-            base += math.log10((uni[b] + 1) / (total + v + 1))
-            p = max(follow[b] - d1[min(follow[b], 3)], 0) / len(bi) + rest / (v + 1)
-            if context[a]:
-                p = max(bi[a, b] - d2[min(bi[a, b], 3)], 0) / context[a] + sum(d2[k] * n for k, n in kinds[a].items()) / context[a] * p
-            score += math.log10(p)
+        padded = [None, "<s>", *words]
+        for a, b, c in zip(padded, padded[1:], words):
+            base += math.log10((uni[c] + 1) / (total + v + 1))
+            p = p2((b, c), max(follow[c] - d1[min(follow[c], 3)], 0) / len(raw) + rest / (v + 1))
+            score += math.log10(p if a is None else p3((a, b, c), p))
         yield len(words), sum(uni[w] > 0 for w in words), base, score
 
 
