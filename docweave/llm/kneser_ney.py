@@ -193,7 +193,7 @@ def fit(texts: DataFrame) -> Model:
     def triple_keys(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
         number = numbers.of(tokens)[1]
         flat, where = np.unique(pairs.key(shifted(number, counts, FIRST), number), return_inverse=True)
-        head = shifted(bigrams.lookup(flat)[1][where], counts, -1)
+        head = shifted(bigrams.lookup(flat, [])[1][where], counts, -1)
         at = head >= 0
         return triples.key(head[at].astype(np.uint64), number[at])
 
@@ -207,7 +207,7 @@ def fit(texts: DataFrame) -> Model:
         order = np.argsort(head)
         middle = pairs.pair(bigrams.keys_at(head[order].astype(np.int64)))[1]
         tail = np.sort(pairs.key(middle, last[order]))
-        yield bigrams.lookup(tail)[1].astype(np.uint64) << shift, none + 1, none, none, none
+        yield bigrams.lookup(tail, [])[1].astype(np.uint64) << shift, none + 1, none, none, none
 
     stats = Dense.build(each(trigrams, ["sum"] * 4, bigram_stats), f"{space}/stats", shards, ["sum"] * 4, triples.left)
     first_places = dict(zip(bigrams.full, bigrams.starts.tolist(), strict=True))

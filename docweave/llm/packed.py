@@ -125,10 +125,11 @@ class Packed:
                 out[a:b] = self.keys(s, places[a:b] - first)
         return out
 
-    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    def lookup(self, keys: np.ndarray, columns: Sequence[int] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Of sorted keys: whether each is stored, its place among all keys, and its columns (0 where it isn't)."""
+        columns = range(self.width) if columns is None else columns
         found, place = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        out = [np.zeros(len(keys), np.int64) for _ in range(self.width)]
+        out = [np.zeros(len(keys), np.int64) for _ in columns]
         short = keys >> U(64 - self.bits)
         cut = np.searchsorted(short >> U(self.rest), np.arange(self.store.shards + 1, dtype=np.uint64))
         for s, first in zip(self.full, self.starts, strict=True):
@@ -139,16 +140,19 @@ class Packed:
             shift = self.rest - ((len(index) - 1).bit_length() - 1)
             own = short[a:b] & U((1 << self.rest) - 1)
             head, want = (own >> U(shift)).astype(np.int64), (own & U((1 << shift) - 1)).astype(np.uint32)
-            lo, end = index[head].astype(np.int64), index[head + 1].astype(np.int64)
-            hi = end
-            for _ in range(int((hi - lo).max()).bit_length()):
-                mid = (lo + hi) >> 1
-                below = (lo < hi) & (low[np.minimum(mid, len(low) - 1)] < want)
-                lo, hi = np.where(below, mid + 1, lo), np.where(below, hi, mid)
-            hit = (lo < end) & (low[np.minimum(lo, len(low) - 1)] == want)
-            found[a:b], at = hit, lo[hit]
+            at, end = index.take(head).astype(np.int64), index.take(head + 1).astype(np.int64)
+            step = 1 << int((end - at).max()).bit_length() >> 1
+            while step:
+                # a step is taken where the last entry passed by it is smaller
+                after = at + step
+                ok = after <= end
+                ok &= low.take(after - 1, mode="clip") < want
+                at += ok * step
+                step >>= 1
+            hit = (at < end) & (low.take(at, mode="clip") == want)
+            found[a:b], at = hit, at[hit]
             place[a:b][hit] = at + first
-            for i, o in enumerate(out):
+            for i, o in zip(columns, out, strict=True):
                 o[a:b][hit] = self.values(s, i, at)
         return found, place, out
 
