@@ -107,7 +107,7 @@ _add("filter_not_null", f"SELECT c_custkey, segment FROM {_GAPPY} WHERE segment
 _add("filter_two_valued", f"SELECT c_custkey FROM {_GAPPY} WHERE NOT coalesce(segment = 'MACHINERY', FALSE)", projection("filter_two_valued", {"g": "gappy"}, pick("g.c_custkey"), not_(eq(f("g.segment"), "MACHINERY"))), semantics="two_valued")
 _add("filter_constant", "SELECT r_name FROM region WHERE TRUE", projection("filter_constant", {"r": "region"}, pick("r.r_name"), and_([constant(True), or_([constant(False), constant(True)])])))
 _add("filter_false", "SELECT r_name FROM region WHERE FALSE", projection("filter_false", {"r": "region"}, pick("r.r_name"), and_([gt(f("r.r_regionkey"), 7), lt(f("r.r_regionkey"), 5)])))
-_add("filter_bounds", "SELECT o_orderkey FROM orders WHERE o_orderkey > 5 AND o_orderkey >= 5 AND o_orderkey <> 9 AND o_orderkey < 400 AND o_orderkey <> 400", projection("filter_bounds", {"o": "orders"}, pick("o.o_orderkey"), and_([gt(f("o.o_orderkey"), 5), gte(f("o.o_orderkey"), 5), ne(f("o.o_orderkey"), 9), lt(f("o.o_orderkey"), 400), ne(f("o.o_orderkey"), 400)])))
+_add("filter_bounds", "SELECT o_orderkey FROM orders WHERE o_totalprice > 5000 AND o_totalprice >= 5000 AND o_totalprice <> 9000 AND o_totalprice < 400000 AND o_totalprice <> 400000", projection("filter_bounds", {"o": "orders"}, pick("o.o_orderkey"), and_([gt(f("o.o_totalprice"), 5000), gte(f("o.o_totalprice"), 5000), ne(f("o.o_totalprice"), 9000), lt(f("o.o_totalprice"), 400000), ne(f("o.o_totalprice"), 400000)])))
 _add("loose_equality", "SELECT c_custkey FROM customer WHERE try_cast(right(c_name, 4) AS DOUBLE) = 42 OR c_custkey = 43", projection("loose_equality", {"c": "customer"}, pick("c.c_custkey"), or_([eq(apply(f("c.c_name"), lambda x: F.right(x, F.lit(4))), 42), eq("43", f("c.c_custkey"))])))
 _add("like_prefix", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'red%'", projection("like_prefix", {"p": "part"}, pick("p.p_partkey", "p.p_name"), like(f("p.p_name"), "red%")))
 _add("like_suffix", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%L' OR p_type LIKE '%E%'", projection("like_suffix", {"p": "part"}, pick("p.p_partkey", "p.p_type"), or_([like(f("p.p_type"), "%L"), like(f("p.p_type"), "%E%")])))
