@@ -22,6 +22,10 @@ TREES, BRANCHES, TOKENS, LEVELS = 3, 4, 2, 3
 SMALL, CELLS = 128, 1 << 18
 #: Documents of a cluster that are verified together.
 BLOCK = 128
+#: Documents of a cluster among which its centre is chosen.
+DRAWN = 64
+#: Pairs a loose document that a cluster's join may look at, where a further round could join some of them first.
+HEAVY = 2048
 
 _SEEDS = mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 
@@ -116,6 +120,30 @@ def _large(batches: Iterator[pa.RecordBatch], around: int, close: int) -> Iterat
             yield pa.record_batch([pa.array(node.view(np.int64)), reps, sigs, pa.nulls(m, pa.int64())], names=names)
 
 
+def _centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the members drawn from each cluster the one that resembles the others most."""
+    for batch in batches:
+        members = batch.column("members")
+        at, ids, sig = members.offsets.to_numpy(), members.values.field("id").to_numpy(), _fixed(members.values.field("sig"))
+        out = []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            order = a + np.argsort(ids[a:b], kind="stable")
+            out.append(int(ids[order[_agreements(sig[None, order])[0].sum(axis=1, dtype=np.int64).argmax()]]))
+        yield pa.record_batch([batch.column("component"), pa.array(out, pa.int64())], names=["component", "centre"])
+
+
+def _prefixes(m: int, n: int, d: int, percent: int) -> tuple[int, int]:
+    """How many of the ``m`` values by which a set of ``n`` differs from the centre's (of ``d``) must hold a common one with a linked set: of a loose document, and of any.
+
+    Linked sets A and B differ in no more than t (|A| + |B|) values, t = (100 - percent) / (100 + percent), so their
+    differences a and b from the centre have (|a| + |b| - t (|A| + |B|)) / 2 values in common; where B is
+    loose, |b| is over t (|B| + d), and in any case no less than | |B| - d |.
+    """
+    loose = ((100 + percent) * m + (100 - percent) * (d - n)) // (2 * (100 + percent)) + 1
+    other = max(1, -(-((100 + percent) * m - (100 - percent) * (n + d)) // (2 * (100 + percent))))
+    return max(0, m - loose + 1), max(0, m - other + 1)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of ``percent`` hundredths or more.
 
@@ -139,10 +167,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     for each document.
 
     The candidates' clusters are then verified on whole sets, in blocks of
-    ``BLOCK`` documents which all hold the cluster's smallest document. Documents
-    known to be connected are not compared again. What is not connected with the
-    smallest document goes to every block of its cluster in a second pass, so no
-    pair of a cluster that could link two components is left out.
+    ``BLOCK`` documents which all hold the cluster's centre, the smallest document
+    of a small cluster. Documents known to be connected are not compared again.
+    A document that isn't connected with the centre is loose. What it could be
+    linked with in other blocks is found by an exact prefix-filtered join: two
+    linked sets differ from the centre's set in common values, and the rarest
+    values of each difference hold one of them (``_prefixes``). So no pair of a
+    cluster that could link two components is left out, and no loose document
+    goes to every block. Where loose documents share so many rare values that the
+    join among them would grow with the square of their number, they form a
+    cluster with a centre of its own in a further round.
 
     Rows without identifier are linked with nothing; rows that repeat an
     identifier count as one document. Other columns are ignored; an empty table
@@ -217,9 +251,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     for more in found[1:]:
         edges = edges.unionByName(more)
     clusters = stored(components(edges, f"{space}/loose"), f"{space}/clusters")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    member_rows = clusters.join(sizes, "component").select("id", "component", "size")
-
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = runs.RunMaker(shards, ["min", "min", "min"])
         for batch in batches:
@@ -227,116 +258,196 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             yield from out.add(mix(ids.view(np.uint64)), ids, cluster, size)
         yield from out.flush()
 
-    member, _ = runs.build(member_rows.mapInArrow(index, runs.RUN_SCHEMA), f"{space}/members", shards, ["min", "min", "min"])
+    def members(of: DataFrame, path: str) -> runs.Store:
+        """Each document's cluster, by its centre, and that cluster's size."""
+        sizes = of.groupBy("component").agg(F.count("*").alias("size"))
+        drawn = of.join(sizes.where(F.col("size") > BLOCK), "component").join(nodes, F.col("id") == F.col("rep"))
+        drawn = drawn.groupBy("component", F.pmod(F.xxhash64("id"), F.lit(DRAWN)).alias("draw")).agg(F.min(F.struct("id", "sig")).alias("one"))
+        centres = drawn.groupBy("component").agg(F.collect_list("one").alias("members")).mapInArrow(_centre, "component bigint, centre bigint")
+        rows = of.join(sizes, "component").join(centres, "component", "left").select("id", F.coalesce("centre", "component").alias("component"), "size")
+        return runs.build(rows.mapInArrow(index, runs.RUN_SCHEMA), path, shards, ["min", "min", "min"])[0]
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        if len(x) > len(y):
+            x, y = y, x
+        if len(x) * 100 < percent * len(y):
+            return False
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        both = int((y[at] == x).sum())
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    def verified(member: runs.Store, path: str) -> DataFrame:
+        """Links found in blocks; in clusters of several, also by what each set differs from the centre's."""
+        names = ["cluster", "block", "doc", "every", "many", "own"]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
 
-    def verified(again: runs.Store | None, name: str) -> DataFrame:
-        """Links found in blocks. ``again`` marks the documents that go to every block, and gives labels."""
+        def _rows(out: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids_all, valid = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
                 found, (_, cluster_all, size_all) = member.lookup(mix(ids_all.view(np.uint64)))
-                label_all, open_all, every_all = ids_all, np.ones(len(found), bool), ids_all == cluster_all
-                if again is not None:
-                    known, (label, flags) = again.lookup(mix(ids_all.view(np.uint64)))
-                    label_all, open_all, every_all = label, known, (flags & 1) > 0
-                found = found & valid & open_all
-                at = np.flatnonzero(found)
+                at = np.flatnonzero(found & valid)
                 if not len(at):
                     continue
                 some = text_array(batch.column("text").take(pa.array(at)))
                 for a, b, data, offsets in groups(some):
                     out: list[tuple] = []
                     for row, own in zip(at[a:b].tolist(), shingle_sets(data, offsets, shingle), strict=True):
-                        blocks = -(-int(size_all[row]) // BLOCK)
+                        blocks, every = -(-int(size_all[row]) // BLOCK), bool(ids_all[row] == cluster_all[row])
                         mine = int(mix(np.array([ids_all[row]], np.int64).view(np.uint64) + U(7))[0] % U(blocks))
-                        for block in range(blocks) if every_all[row] else (mine,):
-                            out.append((int(cluster_all[row]), block, int(ids_all[row]), int(label_all[row]), bool(every_all[row]), blocks > 1, own.tobytes()))
+                        for block in range(blocks) if every else (mine,):
+                            out.append((int(cluster_all[row]), block, int(ids_all[row]), every, blocks > 1, own.tobytes()))
                             if len(out) >= 2000:
                                 yield _rows(out)
                                 out = []
                     yield _rows(out)
 
-        names = ["cluster", "block", "doc", "label", "every", "many", "own"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-
-        def _rows(out: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
-
-        def linked(x: np.ndarray, y: np.ndarray) -> bool:
-            if len(x) > len(y):
-                x, y = y, x
-            if len(x) * 100 < percent * len(y):
-                return False
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum())
-            return 100 * both >= percent * (len(x) + len(y) - both)
-
-        def settle(rows: list[tuple]) -> list[tuple]:
-            """Join components of a block; pairs inside a component are not compared."""
-            rows.sort(key=lambda r: (r[2], len(r[6])))
-            sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        def settle(rows: list[tuple]) -> list[int]:
+            """Join components of a block; pairs inside a component are not compared. Gives each row's smallest document."""
+            sets, roots = [np.frombuffer(r[5], np.uint64) for r in rows], [r[2] for r in rows]
             group: dict[int, list[int]] = {}
-            for i in range(len(rows)):
-                label = rows[i][3]
-                hits = [g for g, members in group.items() if g != label and (again is None or rows[i][4] or any(rows[m][4] for m in members)) and any(linked(sets[m], sets[i]) for m in members if again is None or rows[i][4] or rows[m][4])]
+            for i, label in enumerate(roots):
+                # rows of one document are one, whatever their texts
+                again = i and rows[i - 1][2] == label
+                hits = [g for g, some in group.items() if g != label and ((again and i - 1 in some) or any(linked(sets[m], sets[i]) for m in some))]
                 into = min([label, *hits])
                 joined = [i]
                 for g in {*hits, label}:
                     joined += group.pop(g, [])
                 group[into] = joined
-                if into != label or hits:
-                    for m in joined:
-                        rows[m] = (*rows[m][:3], into, *rows[m][4:])
-            return [(r[0], r[2], r[3], r[5]) for r in rows]
+            for root, some in group.items():
+                for m in some:
+                    roots[m] = root
+            return roots
+
+        def settled(rows: list[tuple]) -> pa.RecordBatch:
+            rows.sort(key=lambda r: (r[2], len(r[5]), r[5]))
+            centre = next((np.frombuffer(r[5], np.uint64) for r in rows if r[3]), None)
+            out = []
+            for i, (r, root) in enumerate(zip(rows, settle(rows), strict=True)):
+                told = (None,) * 4
+                # the centre's other rows, where it has some, are told once
+                if r[4] and not (r[3] and r[1]):
+                    own = np.frombuffer(r[5], np.uint64)
+                    told = (i, len(own), len(centre), np.setxor1d(own, centre, assume_unique=True).tobytes())
+                if told[0] is not None or not i or r[2] != rows[i - 1][2]:
+                    out.append((r[0], r[2], root, r[4], *told))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["cluster", "doc", "root", "many", "row", "n", "d", "apart"])
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, held = None, []
-
-            def done() -> pa.RecordBatch:
-                start = {r[2]: r[3] for r in held}
-                out = settle(held)
-                # a label that stood before stays tied to the one it has now
-                out += [(c, start[d], root, m) for c, d, root, m in out if start[d] not in (d, root)]
-                return pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["cluster", "doc", "root", "many"])
-
             for batch in batches:
                 for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
                     if row[:2] != key:
                         if held:
-                            yield done()
+                            yield settled(held)
                         key, held = row[:2], []
                     held.append(row)
             if held:
-                yield done()
+                yield settled(held)
 
-        dealt = texts.mapInArrow(deal, "cluster bigint, block int, doc bigint, label bigint, every boolean, many boolean, own binary")
+        dealt = texts.mapInArrow(deal, "cluster bigint, block int, doc bigint, every boolean, many boolean, own binary")
         met = dealt.repartition("cluster", "block").sortWithinPartitions("cluster", "block")
-        return stored(met.mapInArrow(check, "cluster bigint, doc bigint, root bigint, many boolean"), f"{space}/{name}")
-
-    first = verified(None, "links1")
-    links = first.select(F.col("doc").alias("a"), F.col("root").alias("b"), "many")
-    # a document that isn't below the smallest one of a cluster of several blocks
-    loose = first.where("many AND root <> cluster")
-    if loose.take(1):
-        labels = components(links.where("many").select("a", "b"), f"{space}/known").select(F.col("id").alias("doc"), "component")
-        inside = first.where("many").select("cluster", "doc").distinct().join(labels, "doc", "left")
-        inside = inside.select("cluster", "doc", F.coalesce("component", "doc").alias("label"))
-        # clusters with more than one component; all but that of the smallest document are dealt to every block
-        apart = inside.where("label <> cluster").select("cluster").distinct()
-        open_rows = stored(inside.join(apart, "cluster", "left_semi"), f"{space}/open")
-
-        def reopen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = runs.RunMaker(shards, ["min", "min"])
-            for batch in batches:
-                cluster, doc, label = (batch.column(c).to_numpy() for c in ("cluster", "doc", "label"))
-                yield from out.add(mix(doc.view(np.uint64)), label, (label != cluster).astype(np.int64))
-            yield from out.flush()
+        return stored(met.mapInArrow(check, "cluster bigint, doc bigint, root bigint, many boolean, row bigint, n bigint, d bigint, apart binary"), path)
+
+    def value_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """A key of each value of the differences, by cluster, and where each row's begin."""
+        apart = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("apart")]
+        size = np.array([len(x) for x in apart], np.int64)
+        cluster = mix(batch.column("cluster").to_numpy().view(np.uint64) + U(3))
+        return mix(np.concatenate([*apart, np.zeros(0, np.uint64)]) ^ np.repeat(cluster, size)), np.concatenate(([0], np.cumsum(size)))
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = runs.RunMaker(shards, ["sum"])
+        for batch in batches:
+            keys, _ = value_keys(batch)
+            yield from out.add(keys, np.ones(len(keys), np.int64))
+        yield from out.flush()
+
+    def across(open_rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+        """Links of loose documents with others of their cluster, and the loose documents that need a further round."""
+        often, _ = runs.build(open_rows.mapInArrow(occurrences, runs.RUN_SCHEMA), f"{path}-often", shards, ["sum"])
 
-        again, _ = runs.build(open_rows.mapInArrow(reopen, runs.RUN_SCHEMA), f"{space}/reopened", shards, ["min", "min"])
-        second = verified(again, "links2")
-        links = links.unionByName(second.select(F.col("doc").alias("a"), F.col("root").alias("b"), "many"))
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, at = value_keys(batch)
+                times = often.lookup(keys, [0])[1][0]
+                rows, value, ranks, first = [], [], [], []
+                for i, (n, d, loose) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "d", "loose")), strict=True)):
+                    own, many = keys[at[i] : at[i + 1]], times[at[i] : at[i + 1]]
+                    short, long = _prefixes(len(own), n, d, percent)
+                    order = np.lexsort((own, many))[: long if loose else short]
+                    rank = np.flatnonzero(many[order] > 1)
+                    rows.append(np.full(len(rank), i))
+                    value.append(own[order[rank]])
+                    ranks.append(rank)
+                    first.append(rank < short)
+                if rows:
+                    take = pa.array(np.concatenate(rows))
+                    some = [batch.column(c).take(take) for c in ("cluster", "doc", "row", "label", "loose", "n")]
+                    m = np.diff(at)[np.concatenate(rows)]
+                    yield pa.record_batch([*some, pa.array(m, pa.int64()), pa.array(np.concatenate(value).view(np.int64)), pa.array(np.concatenate(ranks)), pa.array(np.concatenate(first))], names=["cluster", "doc", "row", "label", "loose", "n", "m", "value", "rank", "first"])
+
+        marks = stored(open_rows.mapInArrow(mark, "cluster bigint, doc bigint, row bigint, label bigint, loose boolean, n bigint, m bigint, value bigint, rank bigint, first boolean"), f"{path}-marks")
+        # a further round helps where a centre had some of the documents
+        loose = F.sum(F.col("loose").cast("long"))
+        some = open_rows.groupBy("cluster").agg(loose.alias("loose"), F.count("*").alias("all")).where((F.col("loose") > BLOCK) & (F.col("loose") * 10 < F.col("all") * 9))
+        work = marks.where("loose AND first").groupBy("cluster", "value").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
+        heavy = stored(work.join(some, "cluster").where(F.col("work") > HEAVY * F.col("loose")).select("cluster"), f"{path}-heavy")
+        light = marks.where("loose AND first").join(heavy, "cluster", "left_anti")
+        sides = [(marks.where("first AND NOT loose"), marks.where("loose"), F.col("x.label") != F.col("y.label")), (light, light, F.col("x.label") < F.col("y.label"))]
+        pairs = None
+        for x, y, differ in sides:
+            # from a common value on, both have enough left for what a link of these two must have in common
+            left = F.least(F.col("x.m") - F.col("x.rank"), F.col("y.m") - F.col("y.rank"))
+            near = 2 * (100 + percent) * left >= (100 + percent) * (F.col("x.m") + F.col("y.m")) - (100 - percent) * (F.col("x.n") + F.col("y.n"))
+            same = (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.value") == F.col("y.value"))
+            met = x.alias("x").join(y.alias("y"), same & differ & near).select("x.cluster", *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("doc", "row")))
+            pairs = met if pairs is None else pairs.unionByName(met)
+        pairs = pairs.distinct()
+        for s in "xy":
+            pairs = pairs.join(open_rows.select("cluster", F.col("doc").alias(f"{s}_doc"), F.col("row").alias(f"{s}_row"), F.col("n").alias(f"{s}_n"), F.col("apart").alias(f"{s}_apart")), ["cluster", f"{s}_doc", f"{s}_row"])
+
+        def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ok = []
+                for n, x, m, y in zip(*(batch.column(c) for c in ("x_n", "x_apart", "y_n", "y_apart")), strict=True):
+                    total, apart = n.as_py() + m.as_py(), len(np.setxor1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
+                    # a total less twice what is common is what the sets differ in
+                    ok.append(100 * (total - apart) >= percent * (total + apart))
+                keep = pa.array(ok, pa.bool_())
+                yield pa.record_batch([batch.column("x_doc").filter(keep), batch.column("y_doc").filter(keep)], names=["a", "b"])
+
+        found = stored(pairs.mapInArrow(confirm, pair_schema), f"{path}-links")
+        return found, open_rows.where("loose").join(heavy, "cluster", "left_semi").select(F.col("doc").alias("id"), F.col("cluster").alias("component")).distinct()
+
+    links, todo, turn = None, clusters, 1
+    while True:
+        first = verified(members(todo, f"{space}/members{turn}"), f"{space}/blocks{turn}")
+        # what a further round links belongs to a cluster of several blocks, whatever it has now
+        own = first.select(F.col("doc").alias("a"), F.col("root").alias("b"), "many" if turn == 1 else F.lit(True).alias("many"))
+        links = own if links is None else links.unionByName(own)
+        several = first.where("many")
+        if not several.where("doc <> cluster").take(1):
+            break
+        labels = components(several.select(F.col("doc").alias("a"), F.col("root").alias("b")), f"{space}/known{turn}")
+        told = several.where("apart IS NOT NULL").join(labels.select(F.col("id").alias("doc"), F.col("component").alias("label")), "doc", "left")
+        told = told.join(labels.select(F.col("id").alias("cluster"), F.col("component").alias("centre")), "cluster", "left")
+        told = told.withColumn("label", F.coalesce("label", "doc")).withColumn("loose", F.col("label") != F.coalesce("centre", "cluster"))
+        told = stored(told.select("cluster", "doc", "row", "n", "d", "apart", "label", "loose"), f"{space}/told{turn}")
+        # clusters with more than one component
+        open_rows = told.join(told.where("loose").select("cluster").distinct(), "cluster", "left_semi")
+        if not open_rows.take(1):
+            break
+        more, rest = across(open_rows, f"{space}/across{turn}")
+        links = links.unionByName(more.select("a", "b", F.lit(True).alias("many")))
+        todo, turn = rest, turn + 1
+        if not todo.take(1):
+            break
     # a cluster of one block is settled; blocks of one cluster meet in their components
     several = links.where("many").select("a", "b")
     settled = links.where("NOT many").select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -259,3 +259,30 @@ def test_cuts_are_certain_in_short_texts_of_any_alphabet(text):
     for a in cuts[1:-1]:
         assert not any(raw[a - 1 : a + 1] in token for i, token in enumerate(c.token) if i not in c.special.values())
     assert [i for a, b in zip(cuts, cuts[1:], strict=False) for i in t.encode(raw[a:b].decode(), add_special_tokens=False).ids] == t.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("heavy", [near_dedup.HEAVY, 0])
+def test_loose_documents_of_a_large_group_are_not_dealt_to_every_block(spark, monkeypatch, heavy):
+    """Copies with edits of their own, and pairs of such, are settled in rows that grow with the group, not with its square."""
+    rnd, texts = random.Random(8), {}
+    base = rnd.choices(WORDS, k=60)
+    for i in range(700):
+        own = list(base) if i < 600 else texts[rnd.randrange(500)].split(" ")
+        for _ in range(rnd.choice((2, 4, 6, 7)) if i < 600 else 1):
+            own[rnd.randrange(60)] = f"x{rnd.randrange(10**6)}"
+        texts[i] = " ".join(own)
+    rows, store = [], near_dedup.stored
+
+    def counted(df, path):
+        out = store(df, path)
+        if "root" in out.columns:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    monkeypatch.setattr(near_dedup, "HEAVY", heavy, raising=False)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=2).collect()}
+    want = brute_components(texts, 80)
+    assert got == want and len(set(want.values())) > 100
+    assert max(rows) < 2 * len(texts)
