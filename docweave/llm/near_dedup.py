@@ -24,6 +24,8 @@ SMALL, CELLS = 128, 1 << 18
 BLOCK = 128
 #: Documents of a cluster among which its centre is chosen.
 DRAWN = 64
+#: Rows of a cluster from which its middle is taken.
+VOTERS = 64
 #: Pairs a loose document that a cluster's join may look at, where a further round could join some of them first.
 HEAVY = 2048
 
@@ -132,16 +134,14 @@ def _centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("component"), pa.array(out, pa.int64())], names=["component", "centre"])
 
 
-def _prefixes(m: int, n: int, d: int, percent: int) -> tuple[int, int]:
-    """How many of the ``m`` values by which a set of ``n`` differs from the centre's (of ``d``) must hold a common one with a linked set: of a loose document, and of any.
+def _prefixes(m: int, n: int, percent: int) -> tuple[int, int]:
+    """How many of the ``m`` values by which a set of ``n`` differs from the middle must hold a common one with a linked set: with one that differs in as many or more, and with one that differs in as many or fewer.
 
     Linked sets A and B differ in no more than t (|A| + |B|) values, t = (100 - percent) / (100 + percent), so their
-    differences a and b from the centre have (|a| + |b| - t (|A| + |B|)) / 2 values in common; where B is
-    loose, |b| is over t (|B| + d), and in any case no less than | |B| - d |.
+    differences a and b from any third set have (|a| + |b| - t (|A| + |B|)) / 2 values in common: |a| - t (|A| + |B|) / 2
+    or more where |b| >= |a|, and |a| - t (|A| + |B|) or more in any case. The larger set is at most 100 / percent of the smaller one.
     """
-    loose = ((100 + percent) * m + (100 - percent) * (d - n)) // (2 * (100 + percent)) + 1
-    other = max(1, -(-((100 + percent) * m - (100 - percent) * (n + d)) // (2 * (100 + percent))))
-    return max(0, m - loose + 1), max(0, m - other + 1)
+    return min(m, (100 - percent) * n // (2 * percent) + 1), min(m, (100 - percent) * n // percent + 1)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,14 +169,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     The candidates' clusters are then verified on whole sets, in blocks of
     ``BLOCK`` documents which all hold the cluster's centre, the smallest document
     of a small cluster. Documents known to be connected are not compared again.
-    A document that isn't connected with the centre is loose. What it could be
-    linked with in other blocks is found by an exact prefix-filtered join: two
-    linked sets differ from the centre's set in common values, and the rarest
-    values of each difference hold one of them (``_prefixes``). So no pair of a
-    cluster that could link two components is left out, and no loose document
-    goes to every block. Where loose documents share so many rare values that the
-    join among them would grow with the square of their number, they form a
-    cluster with a centre of its own in a further round.
+    A document that isn't connected with the centre is loose. A cluster with such
+    documents has a middle: the centre's set, changed in the values by which most
+    documents differ from it. Sets that are together so near to the middle that
+    they must be linked are all linked with the nearest one. Two other linked sets
+    differ from the middle in common values, and the rarest values of each
+    difference hold one of them (``_prefixes``), so an exact prefix-filtered join
+    finds them. No pair of a cluster that could link two components is left out,
+    and no loose document goes to every block. Where documents that are not
+    connected with the middle share so many rare values that the join among them
+    would grow with the square of their number, they form a cluster with a centre
+    of its own in a further round.
 
     Rows without identifier are linked with nothing; rows that repeat an
     identifier count as one document. Other columns are ignored; an empty table
@@ -369,44 +372,69 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         yield from out.flush()
 
     def across(open_rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-        """Links of loose documents with others of their cluster, and the loose documents that need a further round."""
+        """Links that connect components of a cluster, and the documents that need a further round."""
         often, _ = runs.build(open_rows.mapInArrow(occurrences, runs.RUN_SCHEMA), f"{path}-often", shards, ["sum"])
 
+        sizes = open_rows.groupBy("cluster").agg(F.count("*").alias("rows"))
+
+        def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, at = value_keys(batch)
+                most = 2 * often.lookup(keys, [0])[1][0] > np.repeat(batch.column("rows").to_numpy(), np.diff(at))
+                cluster = np.repeat(batch.column("cluster").to_numpy(), np.diff(at))
+                yield pa.record_batch([pa.array(cluster[most]), pa.array(keys[most].view(np.int64))], names=["cluster", "value"])
+
+        # a value of most rows is in one of these; any set would do for a middle
+        voters = open_rows.join(sizes, "cluster").where(F.pmod(F.xxhash64("doc", "row"), F.greatest(F.lit(1), F.floor(F.col("rows") / VOTERS))) == 0)
+        flips = stored(voters.mapInArrow(frequent, "cluster bigint, value bigint").groupBy("cluster").agg(F.collect_set("value").alias("flips")), f"{path}-middle")
+
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys, at = value_keys(batch)
-                times = often.lookup(keys, [0])[1][0]
-                rows, value, ranks, first = [], [], [], []
-                for i, (n, d, loose) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "d", "loose")), strict=True)):
-                    own, many = keys[at[i] : at[i + 1]], times[at[i] : at[i + 1]]
-                    short, long = _prefixes(len(own), n, d, percent)
-                    order = np.lexsort((own, many))[: long if loose else short]
+                flips = [np.sort(np.array(x or [], np.int64).view(np.uint64)) for x in batch.column("flips").to_pylist()]
+                own = [np.setxor1d(keys[a:b], x, assume_unique=True) for a, b, x in zip(at[:-1], at[1:], flips, strict=True)]
+                cut = np.cumsum([len(x) for x in own])[:-1]
+                all_times = np.split(often.lookup(np.concatenate([*own, np.zeros(0, np.uint64)]), [0])[1][0], cut)
+                ms, short, values, ranks = [], [], [], []
+                for x, times, middle, n, rows in zip(own, all_times, flips, *(batch.column(c).to_pylist() for c in ("n", "rows")), strict=True):
+                    many = np.where(np.isin(x, middle, assume_unique=True), rows - times, times)
+                    few, most = _prefixes(len(x), n, percent)
+                    order = np.lexsort((x, many))[:most]
                     rank = np.flatnonzero(many[order] > 1)
-                    rows.append(np.full(len(rank), i))
-                    value.append(own[order[rank]])
+                    ms.append(len(x))
+                    short.append(few)
+                    values.append(x[order[rank]].view(np.int64))
                     ranks.append(rank)
-                    first.append(rank < short)
-                if rows:
-                    take = pa.array(np.concatenate(rows))
-                    some = [batch.column(c).take(take) for c in ("cluster", "doc", "row", "label", "loose", "n")]
-                    m = np.diff(at)[np.concatenate(rows)]
-                    yield pa.record_batch([*some, pa.array(m, pa.int64()), pa.array(np.concatenate(value).view(np.int64)), pa.array(np.concatenate(ranks)), pa.array(np.concatenate(first))], names=["cluster", "doc", "row", "label", "loose", "n", "m", "value", "rank", "first"])
-
-        marks = stored(open_rows.mapInArrow(mark, "cluster bigint, doc bigint, row bigint, label bigint, loose boolean, n bigint, m bigint, value bigint, rank bigint, first boolean"), f"{path}-marks")
-        # a further round helps where a centre had some of the documents
-        loose = F.sum(F.col("loose").cast("long"))
-        some = open_rows.groupBy("cluster").agg(loose.alias("loose"), F.count("*").alias("all")).where((F.col("loose") > BLOCK) & (F.col("loose") * 10 < F.col("all") * 9))
-        work = marks.where("loose AND first").groupBy("cluster", "value").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
+                some = ("cluster", "doc", "row", "label", "loose", "n")
+                yield pa.record_batch([*(batch.column(c) for c in some), pa.array(ms, pa.int64()), pa.array(short, pa.int64()), pa.array(values, pa.list_(pa.int64())), pa.array(ranks, pa.list_(pa.int64()))], names=[*some, "m", "short", "value", "rank"])
+
+        moved = open_rows.join(sizes, "cluster").join(flips, "cluster", "left")
+        sets = stored(moved.mapInArrow(mark, "cluster bigint, doc bigint, row bigint, label bigint, loose boolean, n bigint, m bigint, short bigint, value array<bigint>, rank array<bigint>"), f"{path}-sets")
+        # two sets whose slacks aren't negative together differ in no more than linked ones may
+        sets = sets.withColumn("slack", (100 - percent) * F.col("n") - (100 + percent) * F.col("m"))
+        best = sets.groupBy("cluster").agg(F.max(F.struct("slack", "doc")).alias("best"))
+        sets = sets.join(best, "cluster").withColumn("core", (F.col("best.slack") >= 0) & (F.col("slack") + F.col("best.slack") >= 0))
+        near_middle = sets.where("core").select(F.col("doc").alias("a"), F.col("best.doc").alias("b"))
+        # what is connected with the set nearest to the middle, or else with the centre; pairs of it need no look
+        hub = sets.where("core OR (best.slack < 0 AND NOT loose)").select("cluster", "label", F.lit(True).alias("hub")).distinct()
+        sets = stored(sets.join(hub, ["cluster", "label"], "left").withColumn("hub", F.coalesce("hub", F.lit(False))).drop("best", "slack", "core"), f"{path}-hub")
+        marks = sets.select("cluster", "doc", "row", "label", "hub", "n", "m", "short", F.explode(F.arrays_zip("value", "rank")).alias("at"))
+        marks = stored(marks.select("cluster", "doc", "row", "label", "hub", "n", "m", "at.value", "at.rank", (F.col("at.rank") < F.col("short")).alias("first")), f"{path}-marks")
+        # a further round helps where some of the documents are connected
+        loose = F.sum((~F.col("hub")).cast("long"))
+        some = sets.groupBy("cluster").agg(loose.alias("loose"), F.count("*").alias("all")).where((F.col("loose") > BLOCK) & (F.col("loose") * 10 < F.col("all") * 9))
+        work = marks.where("NOT hub AND first").groupBy("cluster", "value").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
         heavy = stored(work.join(some, "cluster").where(F.col("work") > HEAVY * F.col("loose")).select("cluster"), f"{path}-heavy")
-        light = marks.where("loose AND first").join(heavy, "cluster", "left_anti")
-        sides = [(marks.where("first AND NOT loose"), marks.where("loose"), F.col("x.label") != F.col("y.label")), (light, light, F.col("x.label") < F.col("y.label"))]
+        light = marks.where("NOT hub").join(heavy, "cluster", "left_anti")
         pairs = None
-        for x, y, differ in sides:
+        for x, y in ((marks.where("hub AND first"), marks.where("NOT hub")), (marks.where("NOT hub AND first"), marks.where("hub").unionByName(light))):
+            fewer = (F.col("x.m") < F.col("y.m")) | ((F.col("x.m") == F.col("y.m")) & (F.col("x.label") < F.col("y.label")))
+            alike = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
             # from a common value on, both have enough left for what a link of these two must have in common
             left = F.least(F.col("x.m") - F.col("x.rank"), F.col("y.m") - F.col("y.rank"))
             near = 2 * (100 + percent) * left >= (100 + percent) * (F.col("x.m") + F.col("y.m")) - (100 - percent) * (F.col("x.n") + F.col("y.n"))
             same = (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.value") == F.col("y.value"))
-            met = x.alias("x").join(y.alias("y"), same & differ & near).select("x.cluster", *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("doc", "row")))
+            met = x.alias("x").join(y.alias("y"), same & (F.col("x.label") != F.col("y.label")) & fewer & alike & near).select("x.cluster", *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("doc", "row")))
             pairs = met if pairs is None else pairs.unionByName(met)
         pairs = pairs.distinct()
         for s in "xy":
@@ -422,8 +450,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
                 keep = pa.array(ok, pa.bool_())
                 yield pa.record_batch([batch.column("x_doc").filter(keep), batch.column("y_doc").filter(keep)], names=["a", "b"])
 
-        found = stored(pairs.mapInArrow(confirm, pair_schema), f"{path}-links")
-        return found, open_rows.where("loose").join(heavy, "cluster", "left_semi").select(F.col("doc").alias("id"), F.col("cluster").alias("component")).distinct()
+        found = stored(pairs.mapInArrow(confirm, pair_schema).unionByName(near_middle), f"{path}-links")
+        return found, sets.where("NOT hub").join(heavy, "cluster", "left_semi").select(F.col("doc").alias("id"), F.col("cluster").alias("component")).distinct()
 
     links, todo, turn = None, clusters, 1
     while True:

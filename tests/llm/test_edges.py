@@ -286,3 +286,29 @@ def test_loose_documents_of_a_large_group_are_not_dealt_to_every_block(spark, mo
     want = brute_components(texts, 80)
     assert got == want and len(set(want.values())) > 100
     assert max(rows) < 2 * len(texts)
+
+
+def test_join_of_copies_that_none_resembles_grows_with_the_group(spark, monkeypatch):
+    """Where copies differ in too much to be linked, what most of them lack or share isn't joined, and links are still found."""
+    rnd, texts = random.Random(9), {}
+    base = rnd.choices(WORDS, k=60)
+    for i in range(330):
+        own = list(base) if i < 300 else texts[i - 300].split(" ")
+        for _ in range(4 if i < 300 else 1):
+            own[rnd.randrange(60)] = f"x{rnd.randrange(10**6)}"
+        texts[i] = " ".join(own)
+    work, store = [], near_dedup.stored
+
+    def counted(df, path):
+        out = store(df, path)
+        if {"value", "first"} <= set(out.columns):
+            met = out.where("first").groupBy("cluster", "value").count()
+            work.append(met.agg(F.sum(F.col("count") * F.col("count"))).first()[0])
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=2).collect()}
+    want = brute_components(texts, 80)
+    assert got == want and 200 < len(set(want.values())) < 330
+    assert work and max(work) < 20 * len(texts)
