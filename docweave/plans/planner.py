@@ -113,10 +113,12 @@ class Planner:
         check_hint(hint, sided, flat)
         # the columns of both sides have different names, so one schema serves both
         make = self.compiler(_beside(left, right))
-        if not any(p.op == "==" for p in sided) and hint != "nested-loop":
-            member = next((p for p in sided if p.op in MEMBERSHIP and self.typed_member(make, p)), None)
-            if member is not None:
-                return self.member_join(make, left, done, right, member, [p for p in parts if p != member], hint)
+        equal = any(p.op == "==" for p in sided)
+        member = None if equal else next((p for p in sided if p.op in MEMBERSHIP and self.typed_member(make, p)), None)
+        if hint == "nested-loop" and (equal or member is not None):
+            hint = "auto"  # all pairs are compared only where rows can't meet by a key; the result is the same
+        if member is not None:
+            return self.member_join(make, left, done, right, member, [p for p in parts if p != member], hint)
         condition = reduce(lambda a, b: a & b, map(make.predicate, parts))
         return left.join(hinted(right, hint), condition)
 

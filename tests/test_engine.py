@@ -106,6 +106,16 @@ def test_overlap_join_gives_each_pair_once(engine, hint):
     assert rows(s.run(q)) == [(1, 1)]
 
 
+@pytest.mark.parametrize("where", [lambda: eq(f("a.k"), f("b.k")), lambda: array_contains(f("a.tags"), f("b.tag")), lambda: array_contains_any(f("a.tags"), f("b.tags"))])
+def test_nested_loop_hint_compares_no_pairs_where_there_is_a_key(engine, where):
+    same = "id long, k long, tag string, tags array<string>"
+    s = engine(a=(same, [(1, 7, "x", ["x", "y"]), (2, 8, "z", ["z"]), (3, None, None, None)]), b=(same, [(5, 7, "y", ["y"]), (6, 9, "q", ["q"]), (7, None, None, [None])]))
+    out = s.run(projection("q", {"a": "a", "b": "b"}, {"a": f("a.id"), "b": f("b.id")}, where(), hints={"join": "nested-loop"}))
+    assert rows(out) == [(1, 5)]
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_loose_equality_reads_numbers_in_text(engine):
     s = engine(u=("id string, n long", [("1", 5), ("abc", 6), (None, 7)]), o=("k long, uid long", [(1, 1), (2, 2)]))
     assert rows(s.run(projection("q", {"u": "u", "o": "o"}, {"n": f("u.n")}, eq(f("u.#id"), f("o.uid"))))) == [(5,)]
