@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import And, Comparison, Field, Or, Predicate, Projection, aliases
-from ..operators import contains_join, group_rows, hinted, overlap_join, union_all
+from ..model import And, Collection, Comparison, Field, Or, Predicate, Projection, aliases
+from ..operators import contains_join, group_rows, hinted, overlap_join, spread_join, union_all
 from ..sources import Catalog
 from .columns import Compiler
 from .normalize import FALSE, TRUE, bind, conjuncts, disjuncts, normalize
@@ -85,7 +85,7 @@ class Planner:
             alias = min(left, key=lambda a: (-max((self.rank(p) for p in ready(a)), default=0), order.index(a)))
             now = ready(alias)
             waiting = [p for p in waiting if p not in now]
-            out = self.joined(out, done, frames[alias], alias, now, query.join)
+            out = self.joined(out, done, frames[alias], alias, now, query.join, query.sources)
             done.add(alias)
         return self.filtered(out, waiting)
 
@@ -104,7 +104,7 @@ class Planner:
             frame = frame.where(make.predicate(p))
         return frame
 
-    def joined(self, left: DataFrame, done: set[str], right: DataFrame, alias: str, parts: list[Predicate], hint: str) -> DataFrame:
+    def joined(self, left: DataFrame, done: set[str], right: DataFrame, alias: str, parts: list[Predicate], hint: str, sources: dict[str, Collection]) -> DataFrame:
         if not parts:
             warnings.warn(f"No predicate joins {alias!r}: every pair of rows is in the result", stacklevel=4)
             return left.crossJoin(right)
@@ -119,9 +119,47 @@ class Planner:
             hint = "auto"  # all pairs are compared only where rows can't meet by a key; the result is the same
         if member is not None:
             return self.member_join(make, left, done, right, member, [p for p in parts if p != member], hint)
+        keys = self.shared_keys(make, left, done, right, alias, flat, sources)
+        if keys:
+            rest = [make.predicate(p) for p in flat if p not in keys]
+            a, b = zip(*keys.values(), strict=True)
+            return spread_join(left, [*a], self.told(left, *done, sources), right, [*b], self.told(right, alias, sources), reduce(lambda p, q: p & q, rest) if rest else None, hint)
         condition = reduce(lambda a, b: a & b, map(make.predicate, parts))
         return left.join(hinted(right, hint), condition)
 
+    def shared_keys(self, make: Compiler, left: DataFrame, done: set[str], right: DataFrame, alias: str, flat: list[Predicate], sources: dict[str, Collection]) -> dict[Comparison, tuple[Column, Column]]:
+        """The equalities of two collections as columns of both, if many documents of
+        either may share a key; none if a key is an identity, so that one of the sides
+        has a partner at the most. What was joined before isn't read twice to count keys."""
+        found: dict[Comparison, tuple[Column, Column]] = {}
+        if len(done) > 1 or left.isStreaming or right.isStreaming:
+            return found
+        own = {a: self.catalog.identity(sources[a])[1] for a in (*done, alias)}
+        for p in flat:
+            if not (isinstance(p, Comparison) and p.op == "==" and self.sides(p, done, alias)):
+                continue
+            if any(isinstance(x, Field) and len(x.path) == 1 and x.path[0] in own[x.source] for x in (p.left, p.right)):
+                return {}
+            (a, s), (b, t) = (make.typed(x) for x in ((p.left, p.right) if aliases(p.left) <= done else (p.right, p.left)))
+            if s == t:
+                found[p] = a, b
+            elif isinstance(s, T.IntegralType) and isinstance(t, T.IntegralType):
+                found[p] = a.cast("long"), b.cast("long")
+            elif isinstance(s, T.StringType) and isinstance(t, T.NumericType) or isinstance(s, T.NumericType) and isinstance(t, T.StringType):
+                found[p] = make.alike((a, s), (b, t))
+        # counted and joined rows must have the same keys
+        same = all(f.select("*", *(k[i] for k in found.values()))._jdf.queryExecution().analyzed().deterministic() for i, f in enumerate((left, right)))
+        return found if same else {}
+
+    def told(self, frame: DataFrame, alias: str, sources: dict[str, Collection]) -> list[Column]:
+        """Columns that tell the documents of a collection apart: its identity, or numbers and
+        dates, which are read faster than text; text only where there is nothing else."""
+        own, row = self.catalog.identity(sources[alias])[0], F.col(f"`{alias}`")
+        kinds = {f.name: f.dataType for f in frame.schema[alias].dataType.fields}
+        fixed = [n for n, k in kinds.items() if isinstance(k, T.NumericType | T.DateType | T.TimestampType | T.TimestampNTZType)]
+        names = [own] if own else fixed or [n for n, k in kinds.items() if isinstance(k, T.StringType | T.BinaryType)]
+        return [row.getField(n) for n in names]
+
     @staticmethod
     def sides(p: Comparison, done: set[str], alias: str) -> bool:
         """Whether one operand is of the new alias and the other of those before it."""

@@ -20,6 +20,8 @@ class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.tables: dict[str, DataFrame] = {}
+        #: The column that tells a table's documents apart.
+        self.ids: dict[str, str | None] = {}
 
     def register(self, path: str, table: DataFrame, id_col: str | None = None, path_col: str | None = None) -> DataFrame:
         """Make ``table`` known as collection ``path``.
@@ -38,12 +40,20 @@ class Catalog:
         if path_col not in (None, PATH):
             out = out.drop(path_col)
         self.tables[path.strip("/")] = out
+        self.ids[path.strip("/")] = PATH if path_col is not None else id_col
         return out
 
     def read(self, path: str, location: str, format: str = "parquet", id_col: str | None = None, path_col: str | None = None, **options: str) -> DataFrame:
         """Register files that Spark reads."""
         return self.register(path, self.spark.read.format(format).options(**options).load(location), id_col, path_col)
 
+    def identity(self, collection: Collection) -> tuple[str | None, set[str]]:
+        """The column that tells a collection's documents apart, if there is one, and the
+        fields of which each document has its own value."""
+        name = None if collection.group else "/".join(map(str, collection.path))
+        own = self.ids.get(name) if name is not None else None
+        return own, {own, "#id", "#path"} if own not in (None, PATH) else {"#path"} if own else set()
+
     def scan(self, collection: Collection) -> tuple[DataFrame, list[tuple[int, Field]]]:
         """The documents of a collection, and the path segments that must equal fields
         of other sources (segments count from the left, from 0)."""

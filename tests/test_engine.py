@@ -116,6 +116,34 @@ def test_nested_loop_hint_compares_no_pairs_where_there_is_a_key(engine, where):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("hint", ["auto", "hash", "merge", "nested-loop"])
+def test_rows_of_a_frequent_key_are_joined_by_many_tasks(engine, spark, monkeypatch, hint):
+    """Pairs come once each, whether a key is frequent on both sides, one side or none, and no task makes most of them."""
+    monkeypatch.setattr("docweave.operators.joins.TOGETHER", 8)
+    a = [(i, 1 if i < 200 else 2 if i < 300 else None if i < 310 else i, f"{i}") for i in range(320)]
+    b = [(i, 1 if i < 90 else 3 if i < 120 else None if i < 130 else 2 if i < 132 else 180 + i, f"{i % 40}") for i in range(140)]
+    s = engine(a=("id long, k long, t string", a), b=("id long, k int, t string", b))
+    ask = lambda where: s.run(projection("q", {"a": "a", "b": "b"}, {"a": f("a.id"), "b": f("b.id")}, where, hints={"join": hint}))
+    want = sorted((i, j) for i, k, _ in a for j, m, _ in b if k is not None and k == m)
+    out = ask(eq(f("a.k"), f("b.k")))
+    assert sorted(map(tuple, out.collect())) == want and len(want) > 200 * 90
+    made = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(made) > 8 and max(made) < len(want) / 2
+    # keys of two parts, text against numbers, and a condition beside the key
+    two = ask(and_([eq(f("a.k"), f("b.k")), eq(f("a.t"), f("b.t"))]))
+    assert sorted(map(tuple, two.collect())) == sorted((i, j) for i, k, t in a for j, m, u in b if k is not None and k == m and t == u)
+    assert sorted(map(tuple, ask(eq(f("a.k"), f("b.t"))).collect())) == sorted((i, j) for i, k, _ in a for j, _, u in b if k is not None and k == int(u))
+    less = ask(and_([eq(f("b.k"), f("a.k")), lt(f("a.id"), f("b.id"))]))
+    assert sorted(map(tuple, less.collect())) == [p for p in want if p[0] < p[1]]
+
+
+def test_a_key_that_is_an_identity_is_joined_as_before(engine):
+    s = engine(a=("id long, k long", [(1, 5), (2, 5)]), b=("id long, k long", [(5, 1), (6, 5)]))
+    for key in (f("b.id"), f("b.#id"), f("b.#path")):
+        out = s.run(projection("q", {"a": "a", "b": "b"}, {"a": f("a.id"), "b": f("b.id")}, eq(f("a.k"), key)))
+        assert "explode" not in out._jdf.queryExecution().toString()
+
+
 def test_loose_equality_reads_numbers_in_text(engine):
     s = engine(u=("id string, n long", [("1", 5), ("abc", 6), (None, 7)]), o=("k long, uid long", [(1, 1), (2, 2)]))
     assert rows(s.run(projection("q", {"u": "u", "o": "o"}, {"n": f("u.n")}, eq(f("u.#id"), f("o.uid"))))) == [(5,)]
